@@ -1,0 +1,32 @@
+"""Write-once markdown documents and published messages, as files below a path."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+STEM_BUCKETS = 256
+
+
+def stem_bucket(buckets: int = STEM_BUCKETS) -> Column:
+    """Partition of a stem. One folder per stem would be one per input file."""
+    return F.pmod(F.xxhash64("stem"), F.lit(buckets)).cast("int")
+
+
+def write_markdown(documents: DataFrame, path: str, partition_by: str = "stem_bucket", mode: str = "append") -> None:
+    """Write assembled documents; pass `partition_by="stem"` for one folder per stem.
+
+    Rows are clustered by partition and document before the write, so a partition
+    gets few files, and a large one is still spread over several tasks.
+    """
+    spread = F.pmod(F.xxhash64("file_path", "doc_id", "part"), F.lit(16))
+    (
+        documents.withColumn("stem_bucket", stem_bucket())
+        .repartition(partition_by, spread)
+        .write.mode(mode)
+        .partitionBy(partition_by)
+        .parquet(path)
+    )
+
+
+def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
+    messages.write.mode(mode).parquet(path)
