@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from docketry.functions.paths import stem, uri_bucket, uri_path
-from docketry.session import new_folder
+from docketry.functions.paths import uri_bucket, uri_path
+from docketry.session import new_folder, spread
+from docketry.sinks.files import write_pages
 from docketry.sources.envelopes import encode_envelopes
 from docketry.streaming.arrivals import Layout
 
@@ -54,7 +55,7 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as products of a catalog."""
-    return load(spark, sf_dir, "part").select(
+    return spread(load(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("id"),
         F.col("p_name").alias("name"),
         F.concat_ws(" ", "p_name", "p_type").alias("description"),
@@ -93,9 +94,6 @@ def arrival_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def install_stream(spark: SparkSession, sf_dir: str) -> Layout:
     """Pages and arrival events as files in a fresh folder, as a stream finds them."""
     layout = Layout(new_folder(spark, "stream"))
-    pages = file_pages(spark, sf_dir).select("file_path", "page", "page_text", stem(F.col("file_path")).alias("stem"))
-    pages.repartition("stem").write.partitionBy("stem").parquet(layout.pages)
+    write_pages(file_pages(spark, sf_dir).select("file_path", "page", "page_text"), layout.pages)
     arrival_events(spark, sf_dir).repartition(4).write.parquet(layout.arrivals)
     return layout
-
-

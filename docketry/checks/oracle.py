@@ -206,9 +206,9 @@ scored AS (
   FROM searches s JOIN terms t USING (term) JOIN postings p USING (term) JOIN lengths l USING (doc_id), corpus c
   GROUP BY s.qid, p.doc_id
 )
-SELECT qid, doc_id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rk FROM scored
-) WHERE rk <= 10"""
+SELECT qid, doc_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored
+) WHERE rank <= 10"""
 )
 
 MESSAGES = (

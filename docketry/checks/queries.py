@@ -25,7 +25,7 @@ from docketry.operators.paging import (
 from docketry.operators.sections import attach_sections, attach_sections_join, section_headers
 from docketry.plans import case_sections as cases
 from docketry.plans import product_catalog as catalog
-from docketry.session import new_folder
+from docketry.session import new_folder, spread
 from docketry.sinks.catalog import replace_table
 from docketry.sources.envelopes import decode_envelopes
 from docketry.sources.markup import html_text_items
@@ -44,13 +44,21 @@ NEIGHBOURS = 10
 IMAGE_BUCKET = "lake"
 
 # Query texts of the full-text search, by id.
-SEARCHES = ((0, "worthless double ring"), (1, "La que, des leur"), (2, "the DER und"))
+SEARCHES = {0: "worthless double ring", 1: "La que, des leur", 2: "the DER und"}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_index(page_stamps(inputs.file_pages(spark, sf_dir)))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "pages"))
+
+
 def q_page_stamps(spark, sf_dir):
     return page_stamps(inputs.file_pages(spark, sf_dir))
 
@@ -117,15 +125,15 @@ def q_section_attach_keep_last(spark, sf_dir):
 
 
 def q_html_text_items(spark, sf_dir):
-    return html_text_items(load(spark, sf_dir, "pages"))
+    return html_text_items(_pages(spark, sf_dir))
 
 
 def q_html_sections(spark, sf_dir):
-    return attach_sections(html_text_items(load(spark, sf_dir, "pages")))
+    return attach_sections(html_text_items(_pages(spark, sf_dir)))
 
 
 def q_pages_from_text(spark, sf_dir):
-    return pages_by_lines(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return pages_by_lines(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def q_uri_parts(spark, sf_dir):
@@ -178,24 +186,24 @@ def q_dead_letter_split(spark, sf_dir):
     return retry.withColumn("destination", F.lit("retry")).unionByName(dead.withColumn("destination", F.lit("dead_letter")))
 
 
-def _places(df: DataFrame, key: str, width: int) -> DataFrame:
+def _places(df: DataFrame, key: str) -> DataFrame:
     """The vector's places other than 0, as rows."""
-    return (
-        df.select(key, F.size("v").alias("width"), F.posexplode("v").alias("pos", "x"))
-        .filter(F.col("x") != 0)
-        .select(key, "width", "pos", F.round(F.col("x").cast("double"), 6).alias("weight"))
+    placed = F.transform("v", lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    used = F.filter(placed, lambda p: p["x"] != 0)
+    return df.select(key, F.size("v").alias("width"), F.explode_outer(used).alias("p")).select(
+        key, "width", "p.pos", F.round(F.col("p.x").cast("double"), 6).alias("weight")
     )
 
 
 def q_text_embeddings(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    return _places(docs.select("doc_id", embed_hashed(F.col("text"), TEXT_WIDTH).alias("v")), "doc_id", TEXT_WIDTH)
+    docs = _documents(spark, sf_dir)
+    return _places(docs.select("doc_id", embed_hashed(F.col("text"), TEXT_WIDTH).alias("v")), "doc_id")
 
 
 def q_image_desc_embeddings(spark, sf_dir):
     described = inputs.products(spark, sf_dir)
     return _places(
-        described.select("id", embed_hashed(F.col("image_desc"), IMAGE_WIDTH, IMAGE_SEED).alias("v")), "id", IMAGE_WIDTH
+        described.select("id", embed_hashed(F.col("image_desc"), IMAGE_WIDTH, IMAGE_SEED).alias("v")), "id"
     )
 
 
@@ -245,7 +253,7 @@ def q_ann_search(spark, sf_dir):
 
 
 def q_fts_postings(spark, sf_dir):
-    return fulltext.postings(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return fulltext.postings(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def q_fts_terms(spark, sf_dir):
@@ -253,25 +261,20 @@ def q_fts_terms(spark, sf_dir):
 
 
 def q_fts_lengths(spark, sf_dir):
-    return fulltext.document_lengths(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return fulltext.document_lengths(_documents(spark, sf_dir), "doc_id", "text")
 
 
-def _all_searches(search: Callable[[str], DataFrame]) -> DataFrame:
-    found = None
-    for qid, text in SEARCHES:
-        hits = search(text).select(F.lit(qid).alias("qid"), "doc_id", F.round("score", 6).alias("score"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def q_bm25_scan(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    return _all_searches(lambda text: fulltext.scan_bm25(docs, "doc_id", "text", text, NEIGHBOURS))
+    return _hits(fulltext.scan_bm25(_documents(spark, sf_dir), "doc_id", "text", SEARCHES, NEIGHBOURS))
 
 
 def q_bm25_search(spark, sf_dir):
-    index = fulltext.build_index(load(spark, sf_dir, "documents"), "doc_id", "text", new_folder(spark, "fulltext"))
-    return _all_searches(lambda text: fulltext.search_index(index, text, NEIGHBOURS))
+    index = fulltext.build_index(_documents(spark, sf_dir), "doc_id", "text", new_folder(spark, "fulltext"))
+    return _hits(fulltext.search_index(index, SEARCHES, NEIGHBOURS))
 
 
 def q_stream_file_arrivals(spark, sf_dir):
@@ -279,7 +282,8 @@ def q_stream_file_arrivals(spark, sf_dir):
     files, _ = arrived_files(file_events(spark, layout.arrivals, max_files=2))
     out = f"{layout.root}/arrived"
     (
-        files.writeStream.format("parquet")
+        files.select("file_path")
+        .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", layout.checkpoint("arrived"))
         .trigger(availableNow=True)
@@ -299,7 +303,7 @@ def q_stream_convert(spark, sf_dir):
     layout = inputs.install_stream(spark, sf_dir)
     start_index_stream(spark, layout, max_files=2).awaitTermination()
     start_convert_stream(spark, layout).awaitTermination()
-    return read_markdown(spark, layout).drop("run", "batch", "stem_bucket")
+    return read_markdown(spark, layout).drop("run", "batch", "file_key")
 
 
 QUERIES: dict[str, Query] = {name[2:]: fn for name, fn in globals().copy().items() if name.startswith("q_")}

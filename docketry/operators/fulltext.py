@@ -1,17 +1,19 @@
 """Full-text index and ranked search (BM25).
 
-The index is four small-schema tables: postings, terms, documents and corpus
-totals. A term may occur in every document, so postings are spread by term bucket and
-document, and no step gathers a term's postings.
+The index is three tables: postings, terms and corpus totals. A term may occur in every document, so no step gathers a term's postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docketry.functions.text import tokens
+from docketry.session import materialise
 
 # Own choice of the usual constants.
 K1 = 1.2
@@ -20,13 +22,18 @@ B = 0.75
 TERM_BUCKETS = 64
 
 
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, tokens(F.col(text)).alias("words"))
+
+
+def _occurrences(words: DataFrame, *columns: Column | str) -> DataFrame:
+    # The outer form: the plain one filters on the array first and so cuts the text twice.
+    return words.select(*columns, F.explode_outer("words").alias("term")).filter(F.col("term").isNotNull())
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """`(key, term, tf)` for every word of every document, whole texts."""
-    return (
-        docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return _occurrences(_words(docs, key, text), key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(posting_rows: DataFrame) -> DataFrame:
@@ -48,49 +55,54 @@ def _weight(tf: Column, length: Column, avg_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
-def query_terms(spark: SparkSession, query: str) -> list[str]:
-    """The distinct words of a query string, cut by the same expression as the texts."""
-    row = spark.range(1).select(F.array_sort(F.array_distinct(tokens(F.lit(query)))).alias("terms")).first()
-    return list(row["terms"])
+def query_terms(spark: SparkSession, queries: Mapping[int, str]) -> dict[int, list[str]]:
+    """The distinct words of each query, cut by the same expression as the texts."""
+    frame = spark.createDataFrame(list(queries.items()), "qid bigint, query string")
+    words = F.array_sort(F.array_distinct(tokens(F.col("query"))))
+    return {row["qid"]: list(row["terms"]) for row in frame.select("qid", words.alias("terms")).collect()}
 
 
 def _ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """Top `k` by score; equal up to the ninth digit means equal, then the key decides."""
-    return scored.orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    """Top `k` of each query; equal up to the ninth digit means equal, then the key decides."""
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), key)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        "qid", key, "score", "rank"
+    )
 
 
-def scan_bm25(docs: DataFrame, key: str, text: str, query: str, k: int = 10) -> DataFrame:
-    """Ranked search without an index: two row-local passes and no wide shuffle.
+def scan_bm25(docs: DataFrame, key: str, text: str, queries: Mapping[int, str], k: int = 10) -> DataFrame:
+    """`(qid, key, score, rank)` without an index: one pass over the texts, no wide shuffle.
 
-    Only the query's words are counted, inside the row; the one aggregate has a
-    single row of totals.
+    The pass counts the queries' words inside each row and keeps a few numbers per
+    document; totals and scores are computed from these.
     """
-    terms = query_terms(docs.sparkSession, query)
-    words = docs.select(key, tokens(F.col(text)).alias("words"))
-    counted = words.select(
-        key,
-        F.size("words").cast("bigint").alias("length"),
-        *[F.size(F.filter("words", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)],
-    )
+    by_query = query_terms(docs.sparkSession, queries)
+    terms = sorted({t for words in by_query.values() for t in words})
+    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    hits = F.filter("words", lambda w: F.array_contains(listed, w))
+    found = _words(docs, key, text).select(key, F.size("words").cast("bigint").alias("length"), hits.alias("hits"))
+    counts = F.transform(listed, lambda t: F.size(F.filter("hits", lambda h: h == t)))
+    counted = materialise(found.select(key, "length", counts.alias("tf")), "bm25")
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("length").alias("avg_length"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
+        *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))],
     ).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf = F.col(f"tf{i}")
-        score = score + _idf(F.lit(totals[f"df{i}"]), F.lit(totals["n"])) * _weight(
-            tf, F.col("length"), F.lit(totals["avg_length"])
-        )
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"tf{i}") > 0)
-    return _ranked(counted.filter(hit).select(key, score.alias("score")), key, k)
 
+    def weight(term: str) -> Column:
+        i = terms.index(term)
+        idf = _idf(F.lit(totals[f"df{i}"]), F.lit(totals["n"]))
+        return idf * _weight(F.col("tf")[i], F.col("length"), F.lit(totals["avg_length"]))
 
-def _equals(term: str):
-    return lambda word: word == F.lit(term)
+    per_query = [
+        F.struct(F.lit(qid).cast("bigint").alias("qid"), reduce(add, map(weight, words)).alias("score"))
+        for qid, words in by_query.items()
+        if words
+    ]
+    if not per_query:
+        return _ranked(counted.limit(0).select(F.lit(0).cast("bigint").alias("qid"), key, F.lit(0.0).alias("score")), key, k)
+    scored = counted.filter(F.exists("tf", lambda n: n > 0)).select(key, F.inline(F.array(*per_query)))
+    return _ranked(scored.filter(F.col("score") > 0), key, k)
 
 
 @dataclass
@@ -104,53 +116,56 @@ def _term_bucket() -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def build_index(docs: DataFrame, key: str, text: str, path: str, spread: int = 16) -> TextIndex:
+def build_index(docs: DataFrame, key: str, text: str, path: str) -> TextIndex:
     """Write the index below `path`, replacing one that is there.
 
-    Postings carry the document length, so search joins nothing large. A bucket
-    with a frequent term is written by up to `spread` tasks.
+    Postings carry the document length, so search joins nothing large. They are laid
+    out by ranges of bucket, term and document: a search reads few files, and a
+    frequent term is cut into as many as its rows need.
     """
     spark = docs.sparkSession
-    words = docs.select(key, tokens(F.col(text)).alias("words"))
     rows = (
-        words.select(key, F.size("words").cast("bigint").alias("length"), F.explode("words").alias("term"))
+        _occurrences(_words(docs, key, text), key, F.size("words").cast("bigint").alias("length"))
         .groupBy(key, "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("term_bucket", _term_bucket())
     )
     (
-        rows.repartition("term_bucket", F.pmod(F.xxhash64(key), F.lit(spread)))
+        rows.repartitionByRange("term_bucket", "term", key)
         .sortWithinPartitions("term_bucket", "term")
         .write.mode("overwrite")
         .partitionBy("term_bucket")
         .parquet(f"{path}/postings")
     )
     stored = spark.read.parquet(f"{path}/postings")
-    term_stats(stored).withColumn("term_bucket", _term_bucket()).write.mode("overwrite").partitionBy(
-        "term_bucket"
-    ).parquet(f"{path}/terms")
-    words.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avg_length")
-    ).write.mode("overwrite").parquet(f"{path}/corpus")
+    (
+        term_stats(stored)
+        .withColumn("term_bucket", _term_bucket())
+        .repartitionByRange("term_bucket", "term")
+        .write.mode("overwrite")
+        .partitionBy("term_bucket")
+        .parquet(f"{path}/terms")
+    )
+    total = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    n = docs.count()  # documents without words count too
+    spark.createDataFrame([(n, total / max(n, 1))], "n bigint, avg_length double").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/corpus")
     return TextIndex(spark, path, key)
 
 
-def search_index(index: TextIndex, query: str, k: int = 10) -> DataFrame:
-    """Ranked search on a written index; only the query's buckets and terms are read."""
+def search_index(index: TextIndex, queries: Mapping[int, str], k: int = 10) -> DataFrame:
+    """`(qid, key, score, rank)` by a written index; only the queries' buckets and terms are read."""
     spark = index.spark
-    terms = query_terms(spark, query)
-    buckets = [
-        r["b"]
-        for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_term_bucket().alias("b")).distinct().collect()
-    ]
-    wanted = F.col("term_bucket").isin(buckets) & F.col("term").isin(terms)
+    asked = [(qid, term) for qid, words in query_terms(spark, queries).items() for term in words]
+    pairs = spark.createDataFrame(asked, "qid bigint, term string")
+    buckets = [row["b"] for row in pairs.select(_term_bucket().alias("b")).distinct().collect()]
+    wanted = F.col("term_bucket").isin(buckets) & F.col("term").isin(sorted({term for _, term in asked}))
     corpus = spark.read.parquet(f"{index.path}/corpus").first()
-    # One row per query word at most, hence small enough to broadcast.
-    stats = spark.read.parquet(f"{index.path}/terms").filter(wanted).select("term", "df")
+    # At most one row per query and word, hence small enough to broadcast.
+    stats = spark.read.parquet(f"{index.path}/terms").filter(wanted).select("term", "df").join(F.broadcast(pairs), "term")
     hits = spark.read.parquet(f"{index.path}/postings").filter(wanted).join(F.broadcast(stats), "term")
-    scored = hits.groupBy(index.key).agg(
-        F.sum(
-            _idf(F.col("df"), F.lit(corpus["n"])) * _weight(F.col("tf"), F.col("length"), F.lit(corpus["avg_length"]))
-        ).alias("score")
+    weight = _idf(F.col("df"), F.lit(corpus["n"])) * _weight(
+        F.col("tf"), F.col("length"), F.lit(corpus["avg_length"])
     )
-    return _ranked(scored, index.key, k)
+    return _ranked(hits.groupBy("qid", index.key).agg(F.sum(weight).alias("score")), index.key, k)

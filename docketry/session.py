@@ -18,6 +18,8 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Long texts make heavy rows; this bounds a batch on its way to Python.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
@@ -58,3 +60,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a small input for a step that is heavy on each row.
+
+    An input of fewer splits than cores would leave cores idle. A large one has more
+    and is returned as it is. Meant for plain scans: it asks for their splits only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+CORRUPT = "_corrupt"
+
 
 def encode_envelopes(rows: DataFrame, payload: str, out: str = "envelope") -> DataFrame:
     """Wrap the JSON column `payload` the way the delivery service does."""
@@ -18,24 +20,26 @@ def decode_envelopes(rows: DataFrame, schema: T.StructType, envelope: str = "env
     vanish. Every field of `schema` is required; further keys are ignored.
     """
     data = F.get_json_object(envelope, "$.message.data")
-    raw = F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
-    parsed = F.from_json("_raw", schema)
-    missing = F.lit(False)
+    raw = F.try_validate_utf8(F.try_to_binary("_data", F.lit("base64")).cast("string"))
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("_raw", with_corrupt, {"columnNameOfCorruptRecord": CORRUPT})
+    complete = F.lit(True)
     for field in schema.fieldNames():
-        missing = missing | F.col("payload")[field].isNull()
+        complete = complete & F.col("_parsed")[field].isNotNull()
     reason = (
         F.when(F.col("_data").isNull(), "no data")
         .when(F.col("_raw").isNull(), "bad encoding")
-        .when(F.get_json_object("_raw", "$").isNull() | F.col("payload").isNull(), "bad json")
-        .when(missing, "missing key")
+        .when(F.col("_parsed").isNull() | F.col("_parsed")[CORRUPT].isNotNull(), "bad json")
+        .when(~complete, "missing key")
     )
+    fields = F.struct(*[F.col("_parsed")[name].alias(name) for name in schema.fieldNames()])
     return (
         rows.withColumn("_data", data)
         .withColumn("_raw", raw)
-        .withColumn("payload", parsed)
+        .withColumn("_parsed", parsed)
         .withColumn("reason", reason)
-        .withColumn("payload", F.when(F.col("reason").isNull(), F.col("payload")))
-        .drop("_data", "_raw")
+        .withColumn("payload", F.when(F.col("reason").isNull(), fields))
+        .drop("_data", "_raw", "_parsed")
     )
 
 

@@ -57,8 +57,11 @@ def html_text_items(pages: DataFrame, block_pages: int = 4096) -> DataFrame:
     blocks = pages.select(
         uri_bucket(F.col("url")).alias("doc_id"), "page_id", text_blocks(F.col("html")).alias("blocks")
     )
-    items = blocks.select("doc_id", "page_id", F.posexplode("blocks").alias("pos", "block")).select(
-        "doc_id", "page_id", "pos", "block.label", "block.text"
+    # The outer form: the plain one filters on the array first and so computes it twice.
+    items = (
+        blocks.select("doc_id", "page_id", F.posexplode_outer("blocks").alias("pos", "block"))
+        .filter(F.col("block").isNotNull())
+        .select("doc_id", "page_id", "pos", "block.label", "block.text")
     )
     counts = blocks.select("doc_id", "page_id", F.size("blocks").alias("n"))
     return number_rows(items, counts, ["doc_id"], "page_id", ["pos"], block_pages).select(

@@ -1,8 +1,7 @@
 """New file -> page index -> one message per document, as a stream.
 
 Arrival events come as small files with one envelope per row. Each micro-batch
-reads the pages of the files it names, and only those: the page table is
-partitioned by `stem`, and the stems of a batch prune it.
+reads the pages of the files it names, and only those.
 
 A batch writes to a folder named after the query and the batch, in overwrite mode,
 so a batch that is run again after a failure replaces its own output.
@@ -16,21 +15,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketry import schemas
-from docketry.functions.paths import INPUT_PREFIX, stem, under_prefix
+from docketry.functions.paths import INPUT_PREFIX, under_prefix
 from docketry.operators.messages import document_messages
 from docketry.operators.paging import page_index, page_stamps
-from docketry.sinks.markdown import write_messages
+from docketry.sinks.files import PAGE_SCHEMA, read_files, write_messages
 from docketry.sources.envelopes import decode_envelopes, split_decoded
 
-# A batch naming more stems than this is matched by a join instead of a filter.
-MAX_PRUNED_STEMS = 2_000
-
 
 @dataclass(frozen=True)
 class Layout:
     """Folders of one stream installation."""
 
     root: str
+    generation: str = "1"
 
     @property
     def arrivals(self) -> str:
@@ -53,13 +50,13 @@ class Layout:
         return f"{self.root}/failures"
 
     def checkpoint(self, name: str) -> str:
-        return f"{self.root}/checkpoints/{name}"
+        """A new `generation` starts the streams afresh on the same data."""
+        return f"{self.root}/checkpoints-{self.generation}/{name}"
 
 
-def batch_folder(batch: DataFrame, batch_id: int) -> str:
-    """`run=<query>/batch=<n>`: the same again when Spark repeats the batch."""
-    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-    return f"run={query}/batch={batch_id}"
+def run_id(batch: DataFrame) -> str:
+    """Id of the query, the same over restarts on one checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
 def file_events(spark: SparkSession, path: str, glob: str = "*", max_files: int = 100) -> DataFrame:
@@ -73,37 +70,36 @@ def file_events(spark: SparkSession, path: str, glob: str = "*", max_files: int
 
 
 def arrived_files(events: DataFrame, prefix: str = INPUT_PREFIX) -> tuple[DataFrame, DataFrame]:
-    """`(file_path)` of each arrived object below `prefix`, and undecodable rows.
+    """`(file_path, envelope)` of each arrived object below `prefix`, and undecodable rows.
 
     Objects elsewhere are well-formed and simply ignored.
     """
     good, bad = split_decoded(decode_envelopes(events, schemas.FILE_EVENT))
     files = good.filter(under_prefix(F.col("payload.name"), prefix)).select(
-        F.concat(F.lit("gs://"), F.col("payload.bucket"), F.lit("/"), F.col("payload.name")).alias("file_path")
+        F.concat(F.lit("gs://"), F.col("payload.bucket"), F.lit("/"), F.col("payload.name")).alias("file_path"),
+        "envelope",
     )
     return files, bad
 
 
-def pages_of(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """Pages of the named files. Few stems prune the partitions of the table."""
-    named = files.select("file_path", stem(F.col("file_path")).alias("stem")).distinct()
-    stems = named.select("stem").distinct().limit(MAX_PRUNED_STEMS + 1).collect()
-    if len(stems) <= MAX_PRUNED_STEMS:
-        pages = pages.filter(F.col("stem").isin([row["stem"] for row in stems]))
-    return pages.join(named, ["file_path", "stem"], "left_semi")
+def without_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """Events that name a file of which there are no pages."""
+    return files.join(pages.select("file_path"), "file_path", "left_anti").select(
+        "envelope", F.lit("no such object").alias("reason")
+    )
 
 
-def record_failures(bad: DataFrame, path: str) -> None:
+def record_failures(failed: DataFrame, path: str) -> None:
     """One row per failed delivery; `count_attempts` and `dead_letter_split` read them."""
-    bad.select(F.col("envelope").alias("message"), "reason").write.mode("overwrite").parquet(path)
+    failed.select(F.col("envelope").alias("message"), "reason").write.mode("overwrite").parquet(path)
 
 
 def read_failures(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.schema("message string, reason string").option("recursiveFileLookup", "true").parquet(layout.failures)
-
-
-def read_pages(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.schema("file_path string, page bigint, page_text string, stem string").parquet(layout.pages)
+    return (
+        spark.read.schema("message string, reason string")
+        .option("recursiveFileLookup", "true")
+        .parquet(layout.failures)
+    )
 
 
 def start_index_stream(
@@ -112,11 +108,15 @@ def start_index_stream(
     """Turn arrival events into document messages; stops when all files are done."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        folder = batch_folder(batch, batch_id)
+        folder = f"run={run_id(batch)}/batch={batch_id}"
         files, bad = arrived_files(batch, prefix)
-        record_failures(bad, f"{layout.failures}/{folder}/stage=index")
-        pages = pages_of(read_pages(batch.sparkSession, layout), files)
-        write_messages(document_messages(page_index(page_stamps(pages))), f"{layout.messages}/{folder}", "overwrite")
+        pages = read_files(batch.sparkSession, layout.pages, PAGE_SCHEMA, files)
+        record_failures(
+            bad.select("envelope", "reason").unionByName(without_pages(files, pages)),
+            f"{layout.failures}/{folder}/stage=index",
+        )
+        messages = document_messages(page_index(page_stamps(pages)))
+        write_messages(messages, f"{layout.messages}/{folder}", "overwrite")
 
     return (
         file_events(spark, layout.arrivals, max_files=max_files)

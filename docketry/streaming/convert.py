@@ -11,23 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketry import schemas
-from docketry.functions.paths import stem
-from docketry.operators.paging import assemble_documents, page_range_slice, unconverted
-from docketry.sinks.markdown import STEM_BUCKETS, stem_bucket, write_markdown
-from docketry.streaming.arrivals import Layout, batch_folder, pages_of, read_pages, record_failures
-
-MARKDOWN_COLUMNS = (
-    "file_path string, stem string, doc_id string, part bigint, n_pages bigint, object_path string, "
-    "markdown string, run string, batch bigint, stem_bucket int"
-)
+from docketry.operators.paging import DOCUMENT_KEY, assemble_documents, page_range_slice, unconverted
+from docketry.sinks.files import MARKDOWN_SCHEMA, PAGE_SCHEMA, read_files, read_store, write_markdown
+from docketry.streaming.arrivals import Layout, record_failures, run_id
 
 
 def read_markdown(spark: SparkSession, layout: Layout) -> DataFrame:
-    """All documents written so far; empty before the first one."""
-    spark.createDataFrame([], MARKDOWN_COLUMNS).write.mode("ignore").partitionBy(
-        "run", "batch", "stem_bucket"
-    ).parquet(layout.markdown)
-    return spark.read.schema(MARKDOWN_COLUMNS).parquet(layout.markdown)
+    """All documents written so far."""
+    return read_store(spark, layout.markdown, MARKDOWN_SCHEMA)
 
 
 def decode_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,32 +39,24 @@ def decode_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter(~complete).select("envelope", F.lit("missing key or bad json").alias("reason"))
 
 
-def already_written(spark: SparkSession, layout: Layout, wanted: DataFrame, folder: str) -> DataFrame:
-    """Documents other batches wrote, looked up in the wanted stems' buckets only."""
-    buckets = [row["b"] for row in wanted.select(stem_bucket().alias("b")).distinct().collect()]  # <= STEM_BUCKETS
-    assert len(buckets) <= STEM_BUCKETS
-    mine = F.concat(F.lit("run="), F.col("run"), F.lit("/batch="), F.col("batch").cast("string")) == F.lit(folder)
-    return (
-        read_markdown(spark, layout)
-        .filter(F.col("stem_bucket").isin(buckets) & ~mine)
-        .select("file_path", "doc_id")
-        .distinct()
-    )
+def already_written(spark: SparkSession, layout: Layout, wanted: DataFrame, run: str, batch_id: int) -> DataFrame:
+    """Documents of the wanted files that other batches wrote."""
+    mine = (F.col("run") == run) & (F.col("batch") == batch_id)
+    written = read_files(spark, layout.markdown, MARKDOWN_SCHEMA, wanted)
+    return written.filter(~mine).select(*DOCUMENT_KEY).distinct()
 
 
 def start_convert_stream(spark: SparkSession, layout: Layout, max_files: int = 100) -> StreamingQuery:
     """Turn document messages into markdown; stops when all messages are done."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        folder = batch_folder(batch, batch_id)
+        session, run_name = batch.sparkSession, run_id(batch)
         good, bad = decode_messages(batch)
-        record_failures(bad, f"{layout.failures}/{folder}/stage=convert")
-        wanted = good.dropDuplicates(["file_path", "doc_id"]).withColumn("stem", stem(F.col("file_path")))
-        todo = unconverted(wanted, already_written(session, layout, wanted, folder))
-        pages = pages_of(read_pages(session, layout), todo).drop("stem")
-        documents = assemble_documents(page_range_slice(pages, todo.drop("stem")))
-        write_markdown(documents, f"{layout.markdown}/{folder}", mode="overwrite")
+        record_failures(bad, f"{layout.failures}/run={run_name}/batch={batch_id}/stage=convert")
+        wanted = good.dropDuplicates(list(DOCUMENT_KEY))
+        todo = unconverted(wanted, already_written(session, layout, wanted, run_name, batch_id))
+        pages = read_files(session, layout.pages, PAGE_SCHEMA, wanted).drop("file_key")
+        write_markdown(assemble_documents(page_range_slice(pages, todo)), layout.markdown, run_name, batch_id)
 
     return (
         spark.readStream.schema("key string, value string")

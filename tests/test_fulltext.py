@@ -51,18 +51,25 @@ def test_postings(spark):
 
 def test_ranked_search(spark):
     index = fulltext.build_index(docs(spark), "doc_id", "text", new_folder(spark, "fts"))
-    for query in ("cat dog", "DOG", "ação", "absent", "absent cat cat", "", "!!"):
-        want = brute(query, 3)
-        for found in (
-            fulltext.search_index(index, query, 3),
-            fulltext.scan_bm25(docs(spark), "doc_id", "text", query, 3),
-        ):
-            assert [(r["doc_id"], round(r["score"], 6)) for r in found.collect()] == want, query
+    queries = dict(enumerate(("cat dog", "DOG", "ação", "absent", "absent cat cat", "", "!!")))
+    for found in (
+        fulltext.search_index(index, queries, 3),
+        fulltext.scan_bm25(docs(spark), "doc_id", "text", queries, 3),
+    ):
+        got = found.orderBy("qid", "rank").collect()
+        for qid, query in queries.items():
+            assert [(r["doc_id"], round(r["score"], 6)) for r in got if r["qid"] == qid] == brute(query, 3), query
+
+
+def test_queries_without_words(spark):
+    index = fulltext.build_index(docs(spark), "doc_id", "text", new_folder(spark, "fts"))
+    assert fulltext.search_index(index, {1: "", 2: "?!"}).count() == 0
+    assert fulltext.scan_bm25(docs(spark), "doc_id", "text", {1: "", 2: "?!"}).count() == 0
 
 
 def test_rebuild_replaces_the_index(spark):
     path = new_folder(spark, "fts")
     fulltext.build_index(docs(spark), "doc_id", "text", path)
     index = fulltext.build_index(docs(spark).filter("doc_id = 2"), "doc_id", "text", path)
-    assert fulltext.search_index(index, "cat").count() == 0
-    assert [r["doc_id"] for r in fulltext.search_index(index, "dog").collect()] == [2]
+    assert fulltext.search_index(index, {0: "cat"}).count() == 0
+    assert [r["doc_id"] for r in fulltext.search_index(index, {0: "dog"}).collect()] == [2]

@@ -6,7 +6,9 @@ from conftest import rows
 from docketry.checks import inputs
 from docketry.operators.messages import count_attempts, dead_letter_split
 from docketry.operators.paging import assemble_documents, page_index, page_range_slice, page_stamps
+from docketry import schemas
 from docketry.session import new_folder
+from docketry.sinks.files import write_pages
 from docketry.sources.envelopes import encode_envelopes
 from docketry.streaming.arrivals import Layout, read_failures, start_index_stream
 from docketry.streaming.convert import read_markdown, start_convert_stream
@@ -46,9 +48,7 @@ def test_repeats_and_restarts_write_nothing_twice(spark, sf):
     run(spark, layout, 100)
     assert rows(read_markdown(spark, layout), *DOC) == first
     # Everything again on a fresh checkpoint of the converter.
-    fresh = Layout(layout.root)
-    object.__setattr__(fresh, "checkpoint", lambda name: f"{layout.root}/checkpoints-2/{name}")
-    start_convert_stream(spark, fresh).awaitTermination()
+    start_convert_stream(spark, Layout(layout.root, generation="2")).awaitTermination()
     assert rows(read_markdown(spark, layout), *DOC) == first
 
 
@@ -72,14 +72,27 @@ def test_a_batch_run_again_replaces_its_output(spark, sf):
 
 def test_prefix_and_bad_messages(spark, sf):
     layout = Layout(new_folder(spark, "stream"))
-    pages = inputs.install_stream(spark, sf)
+    pages = inputs.file_pages(spark, sf).select("file_path", "page", "page_text")
+    write_pages(pages, layout.pages)
     announce(spark, layout, ["raw/other/batch.0.pdf", "raw/cases_pdf/unknown.pdf"])
     bad = spark.createDataFrame([("not an envelope",)] * 5 + [('{"message":{}}',)], "envelope string")
     bad.write.mode("append").parquet(layout.arrivals)
-    moved = Layout(layout.root)
-    object.__setattr__(moved, "root", layout.root)
-    spark.read.parquet(pages.pages).write.partitionBy("stem").parquet(layout.pages)
     run(spark, layout, 100)
     assert read_markdown(spark, layout).count() == 0
+    reasons = rows(read_failures(spark, layout).select("reason").distinct())
+    assert reasons == [("no data",), ("no such object",)]
     retry, dead = dead_letter_split(count_attempts(read_failures(spark, layout)))
-    assert rows(retry) == [('{"message":{}}', 1)] and rows(dead) == [("not an envelope", 5)]
+    assert retry.count() == 2 and rows(dead) == [("not an envelope", 5)]
+
+
+def test_files_with_one_stem_stay_apart(spark, sf):
+    layout = Layout(new_folder(spark, "stream"))
+    data = [(f"gs://lake/raw/cases_pdf/{d}/x.pdf", p, f"{d} Num. 7 - Pág. {p}") for d in "ab" for p in (1, 2)]
+    write_pages(spark.createDataFrame(data, schemas.PAGE), layout.pages)
+    announce(spark, layout, ["raw/cases_pdf/a/x.pdf"])
+    run(spark, layout, 100)
+    announce(spark, layout, ["raw/cases_pdf/b/x.pdf"])
+    run(spark, layout, 100)
+    assert rows(read_markdown(spark, layout), "file_path", "stem", "markdown") == [
+        (f"gs://lake/raw/cases_pdf/{d}/x.pdf", "x", f"{d} Num. 7 - Pág. 1\n\n{d} Num. 7 - Pág. 2") for d in "ab"
+    ]

@@ -84,7 +84,7 @@ def test_envelopes(spark):
     good, bad = split_decoded(decode_envelopes(everything, EVENT))
     assert rows(good, "payload.bucket", "payload.n") == [("b", 1), ("ç", 2)]
     reasons = [r[0] for r in rows(bad, "reason")]
-    assert reasons == sorted(["missing key", "missing key", "bad json", "bad encoding", "bad encoding", "no data", "no data", "no data"])
+    assert reasons == sorted(["missing key", "bad json", "bad json", "bad encoding", "bad encoding", "no data", "no data", "no data"])
 
 
 def test_messages_round_trip(spark):
