@@ -21,6 +21,7 @@ def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Turns count from 0 without gaps, so a page number is the number of turns in the
     file's earlier conversations plus the turn. System turns and texts of
     more than one line carry no stamp. Conversation 0 has a stamp that must not match.
+    The lines of a turn are its typed texts; a user's first line is a section header.
     """
     turns = load(spark, sf_dir, "conversations")
     per_conversation = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
@@ -32,12 +33,18 @@ def file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nNum. "), F.col("conv_id").cast("string"), F.lit(" - Pág. "), (F.col("turn") + 1).cast("string")
     )
     unstamped = (F.col("role") == "system") | F.col("text").contains("\n")
+    heads = F.col("role") == "user"
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(
+            F.when(heads & (i == 0), "section_header").otherwise("text").alias("label"), line.alias("text")
+        ),
+    )
     return turns.join(offsets, "conv_id").select(
         F.concat(F.lit("gs://lake/raw/cases_pdf/batch."), F.col("file_no").cast("string"), F.lit(".pdf")).alias("file_path"),
         (F.col("pages_before") + F.col("turn") + 1).alias("page"),
         F.when(unstamped, F.col("text")).otherwise(F.concat("text", stamp)).alias("page_text"),
-        F.when(F.col("role") == "user", "section_header").otherwise("text").alias("label"),
-        F.col("text").alias("item_text"),
+        F.filter(lines, lambda b: b["text"] != "").alias("blocks"),
     )
 
 

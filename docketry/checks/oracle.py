@@ -8,8 +8,7 @@ file_pages AS (
          row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) AS page,
          CASE WHEN role = 'system' OR contains(text, chr(10)) THEN text
               ELSE text || chr(10) || 'Num. ' || conv_id || ' - Pág. ' || (turn + 1) END AS page_text,
-         CASE WHEN role = 'user' THEN 'section_header' ELSE 'text' END AS label,
-         text AS item_text
+         role, text
   FROM conversations
 )"""
 
@@ -84,10 +83,18 @@ attached AS (
 CASE_SECTIONS = (
     FIRST
     + r""",
+lines AS (
+  SELECT file_path, page, role, unnest(string_split(text, chr(10))) AS text,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM file_pages
+),
 items AS (
-  SELECT p.file_path, d.doc_id, p.page - d.min_page AS row_idx, p.label, p.item_text AS text
-  FROM file_pages p JOIN first_documents d
-    ON p.file_path = d.file_path AND p.page BETWEEN d.min_page AND d.max_page
+  SELECT l.file_path, d.doc_id,
+         row_number() OVER (PARTITION BY l.file_path, d.doc_id ORDER BY l.page, l.pos) - 1 AS row_idx,
+         CASE WHEN l.role = 'user' AND l.pos = 1 THEN 'section_header' ELSE 'text' END AS label, l.text
+  FROM lines l JOIN first_documents d
+    ON l.file_path = d.file_path AND l.page BETWEEN d.min_page AND d.max_page
+  WHERE l.text <> ''
 ),"""
     + headers("file_path, doc_id")
     + ","

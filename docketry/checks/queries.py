@@ -125,11 +125,11 @@ def q_section_attach_keep_last(spark, sf_dir):
 
 
 def q_html_text_items(spark, sf_dir):
-    return html_text_items(_pages(spark, sf_dir))
+    return html_text_items(_pages(spark, sf_dir)).drop("block")
 
 
 def q_html_sections(spark, sf_dir):
-    return attach_sections(html_text_items(_pages(spark, sf_dir)))
+    return attach_sections(html_text_items(_pages(spark, sf_dir)), block="block")
 
 
 def q_pages_from_text(spark, sf_dir):

@@ -10,10 +10,12 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
+from docketry.functions.given import given
 from docketry.functions.text import tokens
 from docketry.session import materialise
+from docketry.sinks.files import read_folders
 
 # Own choice of the usual constants.
 K1 = 1.2
@@ -55,11 +57,11 @@ def _weight(tf: Column, length: Column, avg_length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
-def query_terms(spark: SparkSession, queries: Mapping[int, str]) -> dict[int, list[str]]:
-    """The distinct words of each query, cut by the same expression as the texts."""
+def query_terms(spark: SparkSession, queries: Mapping[int, str]) -> list[Row]:
+    """`(qid, term, term_bucket)`: the distinct words of each query, cut as the texts are."""
     frame = spark.createDataFrame(list(queries.items()), "qid bigint, query string")
-    words = F.array_sort(F.array_distinct(tokens(F.col("query"))))
-    return {row["qid"]: list(row["terms"]) for row in frame.select("qid", words.alias("terms")).collect()}
+    words = frame.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    return words.withColumn("term_bucket", _term_bucket()).orderBy("qid", "term").collect()
 
 
 def _ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -76,13 +78,16 @@ def scan_bm25(docs: DataFrame, key: str, text: str, queries: Mapping[int, str],
     The pass counts the queries' words inside each row and keeps a few numbers per
     document; totals and scores are computed from these.
     """
-    by_query = query_terms(docs.sparkSession, queries)
+    by_query: dict[int, list[str]] = {}
+    for row in query_terms(docs.sparkSession, queries):
+        by_query.setdefault(row["qid"], []).append(row["term"])
     terms = sorted({t for words in by_query.values() for t in words})
-    listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    listed = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     hits = F.filter("words", lambda w: F.array_contains(listed, w))
-    found = _words(docs, key, text).select(key, F.size("words").cast("bigint").alias("length"), hits.alias("hits"))
-    counts = F.transform(listed, lambda t: F.size(F.filter("hits", lambda h: h == t)))
-    counted = materialise(found.select(key, "length", counts.alias("tf")), "bm25")
+    counts = given(hits, lambda found: F.transform(listed, lambda t: F.size(F.filter(found, lambda h: h == t))))
+    counted = materialise(
+        _words(docs, key, text).select(key, F.size("words").cast("bigint").alias("length"), counts.alias("tf")), "bm25"
+    )
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("length").alias("avg_length"),
@@ -97,7 +102,6 @@ def scan_bm25(docs: DataFrame, key: str, text: str, queries: Mapping[int, str],
     per_query = [
         F.struct(F.lit(qid).cast("bigint").alias("qid"), reduce(add, map(weight, words)).alias("score"))
         for qid, words in by_query.items()
-        if words
     ]
     if not per_query:
         return _ranked(counted.limit(0).select(F.lit(0).cast("bigint").alias("qid"), key, F.lit(0.0).alias("score")), key, k)
@@ -105,11 +109,16 @@ def scan_bm25(docs: DataFrame, key: str, text: str, queries: Mapping[int, str],
     return _ranked(scored.filter(F.col("score") > 0), key, k)
 
 
+POSTINGS_SCHEMA = "length bigint, term string, tf bigint, term_bucket int"
+TERMS_SCHEMA = "term string, df bigint, total bigint, term_bucket int"
+
+
 @dataclass
 class TextIndex:
     spark: SparkSession
     path: str
     key: str
+    key_type: str
 
 
 def _term_bucket() -> Column:
@@ -151,20 +160,24 @@ def build_index(docs: DataFrame, key: str, text: str, path: str) -> TextIndex:
     spark.createDataFrame([(n, total / max(n, 1))], "n bigint, avg_length double").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/corpus")
-    return TextIndex(spark, path, key)
+    return TextIndex(spark, path, key, docs.schema[key].dataType.simpleString())
 
 
 def search_index(index: TextIndex, queries: Mapping[int, str], k: int = 10) -> DataFrame:
     """`(qid, key, score, rank)` by a written index; only the queries' buckets and terms are read."""
     spark = index.spark
-    asked = [(qid, term) for qid, words in query_terms(spark, queries).items() for term in words]
-    pairs = spark.createDataFrame(asked, "qid bigint, term string")
-    buckets = [row["b"] for row in pairs.select(_term_bucket().alias("b")).distinct().collect()]
-    wanted = F.col("term_bucket").isin(buckets) & F.col("term").isin(sorted({term for _, term in asked}))
+    asked = query_terms(spark, queries)
+    pairs = spark.createDataFrame(asked, "qid bigint, term string, term_bucket int").drop("term_bucket")
+    buckets = sorted({row["term_bucket"] for row in asked})
+
+    def stored(table: str, schema: str) -> DataFrame:
+        rows = read_folders(spark, f"{index.path}/{table}", schema, [f"term_bucket={b}" for b in buckets])
+        return rows.filter(F.col("term").isin(sorted({row["term"] for row in asked})))
+
     corpus = spark.read.parquet(f"{index.path}/corpus").first()
     # At most one row per query and word, hence small enough to broadcast.
-    stats = spark.read.parquet(f"{index.path}/terms").filter(wanted).select("term", "df").join(F.broadcast(pairs), "term")
-    hits = spark.read.parquet(f"{index.path}/postings").filter(wanted).join(F.broadcast(stats), "term")
+    stats = stored("terms", TERMS_SCHEMA).select("term", "df").join(F.broadcast(pairs), "term")
+    hits = stored("postings", f"{index.key} {index.key_type}, {POSTINGS_SCHEMA}").join(F.broadcast(stats), "term")
     weight = _idf(F.col("df"), F.lit(corpus["n"])) * _weight(
         F.col("tf"), F.col("length"), F.lit(corpus["avg_length"])
     )

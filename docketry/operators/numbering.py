@@ -7,39 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def group_offsets(
-    counts: DataFrame, keys: Sequence[str], order: str, block_size: int
-) -> DataFrame:
-    """Rows that come before each block of a group.
-
-    `counts` holds `(*keys, order, n)`; blocks are ranges of `block_size` values of
-    the integer column `order`. Result: `(*keys, block, block_offset)`. The final
-    window sees one row per block of a group, never the group's rows.
-    """
-    block = F.floor(F.col(order) / block_size).alias("block")
-    sums = counts.groupBy(*keys, block).agg(F.sum("n").alias("n"))
-    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("block_offset"))
-
-
 def number_rows(
     rows: DataFrame,
-    counts: DataFrame,
     keys: Sequence[str],
     order: str,
     then: Sequence[Column | str] = (),
     block_size: int = 4096,
     name: str = "row_idx",
 ) -> DataFrame:
-    """0-based position of each row of a group by `(order, *then)`.
+    """0-based position of each row of a group by `(order, *then)`, as column `name`.
+
+    A group is cut into blocks, ranges of `block_size` values of the integer column
+    `order`. Rows are numbered by a window inside `(*keys, block)` and shifted by the
+    number of rows in earlier blocks; the window that adds these up sees one row per
+    block. The result keeps the column `block` and stays laid out by `(*keys, block)`.
 
-    Rows are numbered by a window inside `(*keys, block)` and shifted by the
-    block's offset, both on the same shuffle.
+    Counting reads the same shuffled rows as numbering. It looks at every column, so
+    that the two shuffles are alike and Spark runs one of them, and with it
+    whatever comes before, once.
     """
+    laid_out = rows.withColumn("block", F.floor(F.col(order) / block_size)).repartition(*keys, "block")
+    every_row = F.hash(*rows.columns) >= -(2**31)
+    counts = laid_out.groupBy(*keys, "block").agg(F.count_if(every_row).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy(*keys, "block").orderBy(order, *then)
     return (
-        rows.withColumn("block", F.floor(F.col(order) / block_size))
-        .join(group_offsets(counts, keys, order, block_size), [*keys, "block"])
-        .withColumn(name, F.col("block_offset") + F.row_number().over(inside) - 1)
-        .drop("block", "block_offset")
+        laid_out.join(offsets, [*keys, "block"])
+        .withColumn(name, F.col("before") + F.row_number().over(inside) - 1)
+        .drop("before")
     )

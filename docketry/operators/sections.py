@@ -27,51 +27,34 @@ def _block(block_rows: int) -> Column:
     return F.floor(F.col("row_idx") / block_rows)
 
 
-def _headers(items: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
-    return items.filter(F.col("label") == HEADER_LABEL).select(
-        *keys, "row_idx", F.coalesce("text", F.lit("")).alias("text"), _block(block_rows).alias("block")
-    )
+def _is_header() -> Column:
+    return F.coalesce(F.col("label") == HEADER_LABEL, F.lit(False))
 
 
-def _block_borders(headers: DataFrame, keys: Sequence[str], last_blocks: DataFrame | None) -> DataFrame:
-    """For each block with headers in earlier or later blocks: the header before
-    the block (`before`) and the index of the first header after it (`after`)."""
-    per_block = headers.groupBy(*keys, "block").agg(
-        F.min("row_idx").alias("first_idx"),
-        F.max(F.struct("row_idx", "text")).alias("last_header"),
-    )
-    order = Window.partitionBy(*keys).orderBy("block")
-    linked = per_block.select(
-        *keys,
-        "block",
-        "last_header",
-        F.lag("last_header").over(order).alias("previous_header"),
-        F.lead("first_idx").over(order).alias("after"),
-        F.lead("block").over(order).alias("next_block"),
-    )
-    upto = F.col("next_block") - 1
-    if last_blocks is not None:
-        linked = linked.join(last_blocks, list(keys))
-        upto = F.coalesce(upto, F.col("last_block"))
-    filled = linked.withColumn("b", F.explode(F.sequence(F.col("block"), F.coalesce(upto, F.col("block")))))
-    return filled.select(
-        *keys,
-        F.col("b").alias("block"),
-        F.when(F.col("b") == F.col("block"), F.col("previous_header"))
-        .otherwise(F.col("last_header"))
-        .alias("before"),
-        "after",
-    ).filter(F.col("before").isNotNull() | F.col("after").isNotNull())
+def _header() -> Column:
+    return F.when(_is_header(), F.struct("row_idx", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def _over(keys: Sequence[str], order: Column, last: int) -> Window:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
 
 
 def section_headers(
     items: DataFrame, keys: Sequence[str] = ("doc_id",), block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Headers with the index of the next header, null on the last one."""
-    headers = _headers(items, keys, block_rows)
-    borders = _block_borders(headers, keys, None).select(*keys, "block", "after")
+    headers = items.filter(F.col("label") == HEADER_LABEL).select(
+        *keys, "row_idx", F.coalesce("text", F.lit("")).alias("text"), _block(block_rows).alias("block")
+    )
+    first_of_next = F.lead("first_idx").over(Window.partitionBy(*keys).orderBy("block"))
+    after = (
+        headers.groupBy(*keys, "block")
+        .agg(F.min("row_idx").alias("first_idx"))
+        .select(*keys, "block", first_of_next.alias("after"))
+        .filter(F.col("after").isNotNull())
+    )
     inside = Window.partitionBy(*keys, "block").orderBy("row_idx")
-    return headers.join(borders, [*keys, "block"], "left").select(
+    return headers.join(after, [*keys, "block"], "left").select(
         *keys,
         F.col("row_idx").alias("index_y"),
         F.col("text").alias("text_y"),
@@ -79,32 +62,51 @@ def section_headers(
     )
 
 
+def _block_borders(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per block: the last header of earlier blocks (`before`) and the index of the
+    first header of later blocks (`after`); blocks with neither are left out."""
+    per_block = items.groupBy(*keys, "block").agg(
+        F.max(_header()).alias("last_header"), F.min(_header()["row_idx"]).alias("first_idx")
+    )
+    earlier, later = _over(keys, F.asc("block"), -1), _over(keys, F.desc("block"), -1)
+    return per_block.select(
+        *keys,
+        "block",
+        F.last("last_header", ignorenulls=True).over(earlier).alias("before"),
+        F.last("first_idx", ignorenulls=True).over(later).alias("after"),
+    ).filter(F.col("before").isNotNull() | F.col("after").isNotNull())
+
+
 def attach_sections(
     items: DataFrame,
     keys: Sequence[str] = ("doc_id",),
     keep_last_section: bool = False,
     block_rows: int = BLOCK_ROWS,
+    block: str | None = None,
 ) -> DataFrame:
-    """Section attach as windows inside blocks: one shuffle of the items."""
-    last_blocks = None
-    if keep_last_section:
-        last_blocks = items.groupBy(*keys).agg(F.max(_block(block_rows)).alias("last_block"))
-    borders = _block_borders(_headers(items, keys, block_rows), keys, last_blocks)
-
-    is_header = F.coalesce(F.col("label") == HEADER_LABEL, F.lit(False))
-    header = F.when(is_header, F.struct("row_idx", F.coalesce("text", F.lit("")).alias("text")))
-    upward = Window.partitionBy(*keys, "block").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    downward = Window.partitionBy(*keys, "block").orderBy(F.desc("row_idx")).rowsBetween(Window.unboundedPreceding, 0)
+    """Section attach as windows inside blocks: the items are shuffled once.
+
+    Items that `number_rows` has laid out by `(*keys, block)` are used as they lie;
+    name their column in `block`. Block borders are computed from the same shuffled
+    columns as the windows, so that Spark runs the shuffle and its input once.
+    """
+    columns = [*keys, "row_idx", "label", "text"]
+    if block is not None:
+        laid_out = items.select(*columns, F.col(block).alias("block"))
+    else:
+        laid_out = items.select(*columns, _block(block_rows).alias("block")).repartition(*keys, "block")
+
+    upward = _over([*keys, "block"], F.asc("row_idx"), 0)
+    downward = _over([*keys, "block"], F.desc("row_idx"), 0)
     marked = (
-        items.select(*keys, "row_idx", "label", "text", _block(block_rows).alias("block"))
-        .join(borders, [*keys, "block"], "left")
-        .withColumn("header", F.coalesce(F.last(header, ignorenulls=True).over(upward), F.col("before")))
+        laid_out.join(_block_borders(laid_out, keys), [*keys, "block"], "left")
+        .withColumn("header", F.coalesce(F.last(_header(), ignorenulls=True).over(upward), F.col("before")))
         .withColumn(
             "next_header",
-            F.coalesce(F.last(F.when(is_header, F.col("row_idx")), ignorenulls=True).over(downward), F.col("after")),
+            F.coalesce(F.last(_header()["row_idx"], ignorenulls=True).over(downward), F.col("after")),
         )
     )
-    kept = ~is_header & F.col("header").isNotNull()
+    kept = ~_is_header() & F.col("header").isNotNull()
     if not keep_last_section:
         kept &= F.col("next_header").isNotNull()
     return marked.filter(kept).select(

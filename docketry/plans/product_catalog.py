@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docketry import schemas
 from docketry.operators.embedding import IMAGE_SEED, IMAGE_WIDTH, TEXT_WIDTH, embed_hashed
 from docketry.operators.vectors import require_width
+from docketry.plans.indexes import TableIndexes, build_indexes
 from docketry.sinks.catalog import replace_table
 
 # Where images are kept.
@@ -46,3 +47,9 @@ def product_catalog(products: DataFrame, bucket: str) -> DataFrame:
 
 def store_product_catalog(products: DataFrame, bucket: str, namespace: str = NAMESPACE, table: str = TABLE) -> str:
     return replace_table(product_catalog(products, bucket), namespace, table)
+
+
+def index_product_catalog(stored: DataFrame, path: str, **options) -> TableIndexes:
+    """Vector indexes of both embeddings."""
+    widths = {"text_embedding": TEXT_WIDTH, "image_embedding": IMAGE_WIDTH}
+    return build_indexes(stored, "id", path, widths, **options)

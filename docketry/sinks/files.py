@@ -73,13 +73,18 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_folders(spark: SparkSession, path: str, schema: str, names: Iterable[str]) -> DataFrame:
+    """The named partition folders of a table, as far as they exist; no other is listed."""
+    folders = existing_paths(spark, [f"{path}/{name}" for name in names])
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
+
+
 def read_files(spark: SparkSession, path: str, schema: str, files: DataFrame) -> DataFrame:
     """The stored rows of the files named in the `file_path` column of `files`."""
     named = files.select("file_path", file_key().alias("file_key")).distinct()
     keys = [row["file_key"] for row in named.select("file_key").limit(MAX_FOLDERS + 1).collect()]
     if len(keys) > MAX_FOLDERS:
         return read_store(spark, path, schema).join(named, ["file_path", "file_key"], "left_semi")
-    folders = existing_paths(spark, [f"{path}/file_key={key}" for key in keys])
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    return read_folders(spark, path, schema, [f"file_key={key}" for key in keys])

@@ -52,22 +52,28 @@ def html_text_items(pages: DataFrame, block_pages: int = 4096) -> DataFrame:
     """Items of every host, numbered through its pages by `page_id`.
 
     A page has one main header, so the host stands for the document and its pages
-    follow one another. The numbering never gathers a whole host.
+    follow one another. The numbering never gathers a whole host; the result is laid
+    out by `(doc_id, block)` for the section operators.
     """
     blocks = pages.select(
         uri_bucket(F.col("url")).alias("doc_id"), "page_id", text_blocks(F.col("html")).alias("blocks")
     )
-    # The outer form: the plain one filters on the array first and so computes it twice.
-    items = (
-        blocks.select("doc_id", "page_id", F.posexplode_outer("blocks").alias("pos", "block"))
-        .filter(F.col("block").isNotNull())
-        .select("doc_id", "page_id", "pos", "block.label", "block.text")
-    )
-    counts = blocks.select("doc_id", "page_id", F.size("blocks").alias("n"))
-    return number_rows(items, counts, ["doc_id"], "page_id", ["pos"], block_pages).select(
+    items = number_rows(explode_blocks(blocks, "doc_id", "page_id"), ["doc_id"], "page_id", ["pos"], block_pages)
+    return items.select(
         "doc_id",
         "row_idx",
         F.concat(F.lit("#/texts/"), F.col("row_idx").cast("string")).alias("self_ref"),
         "label",
         "text",
+        "block",
+    )
+
+
+def explode_blocks(pages: DataFrame, *columns: str) -> DataFrame:
+    """One row per element of `blocks`, with its place `pos`, `label` and `text`."""
+    # The outer form: the plain one filters on the array first and so computes it twice.
+    return (
+        pages.select(*columns, F.posexplode_outer("blocks").alias("pos", "item"))
+        .filter(F.col("item").isNotNull())
+        .select(*columns, "pos", "item.label", "item.text")
     )

@@ -7,7 +7,8 @@ from docketry.checks import inputs
 from docketry.operators.sections import attach_sections_join
 from docketry.plans import case_sections as cases
 from docketry.plans import product_catalog as catalog
-from docketry.session import materialise, shared_dir
+from docketry.operators import fulltext, ivf
+from docketry.session import materialise, new_folder, shared_dir
 
 # A few literal products under the declared schema.
 PRODUCTS = [
@@ -28,7 +29,10 @@ def test_case_sections_join_form(spark, sf):
     pages = inputs.file_pages(spark, sf)
     ranges = cases.page_index(cases.page_stamps(pages))
     joined = attach_sections_join(cases.document_items(pages, ranges), cases.DOCUMENT_KEY)
-    assert rows(cases.case_sections(pages, n=None)) == rows(joined)
+    got = rows(cases.case_sections(pages, n=None))
+    assert got and got == rows(joined)
+    for block_pages in (1, 2, 3):
+        assert rows(cases.case_sections(pages, n=None, block_pages=block_pages)) == got
 
 
 def test_keep_last_section_keeps_more(spark, sf):
@@ -62,3 +66,27 @@ def test_plans_have_no_cross_join(spark, sf, name):
         pytest.skip("runs jobs of its own")
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_indexes_of_the_case_table(spark, sf):
+    name = cases.store_case_sections(inputs.file_pages(spark, sf), "indexed_ns", n=None, keep_last_section=True)
+    built = cases.index_case_sections(spark.table(name), new_folder(spark, "indexes"))
+    assert set(built.vectors) == {"text_embedding"}
+    text = spark.table(name).orderBy("index_x", "doc_id").first()["text"]
+    hits = fulltext.search_index(built.text, {0: text}, 5).collect()
+    assert 0 < len(hits) <= 5
+
+
+def test_indexes_of_the_product_table(spark, sf):
+    products = inputs.products(spark, "/root/testdata/sf0.01")
+    name = catalog.store_product_catalog(products, "b", "indexed_ns")
+    built = catalog.index_product_catalog(spark.table(name), new_folder(spark, "indexes"))
+    codes = {c: {len(r[0]) for r in i.rows().select("codes").collect()} for c, i in built.vectors.items()}
+    assert codes == {"text_embedding": {12}, "image_embedding": {16}}
+    product = spark.table(name).filter("id = 7").first()
+    query = spark.createDataFrame([(0, product["text_embedding"])], "qid int, vector array<float>")
+    found = ivf.search(query, spark.table(name), "id", "text_embedding", built.vectors["text_embedding"], 5, nprobe=4)
+    nearest = found.orderBy("rank").first()
+    assert nearest["distance"] == 0.0
+    same = spark.table(name).filter(F.col("id") == nearest["id"]).first()["description"]
+    assert sorted(same.lower().split()) == sorted(product["description"].lower().split())
