@@ -7,6 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def lay_out(rows: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Shuffle rows by `(*keys, block)`; rows with a null among these belong nowhere.
+
+    Dropping them here and not at a later join lets all readers of the result have the
+    same plan below the shuffle, so that it is run once.
+    """
+    placed = rows.withColumn("block", block)
+    known = F.lit(True)
+    for column in [*keys, "block"]:
+        known &= F.col(column).isNotNull()
+    return placed.filter(known).repartition(*keys, "block")
+
+
 def number_rows(
     rows: DataFrame,
     keys: Sequence[str],
@@ -26,7 +39,7 @@ def number_rows(
     that the two shuffles are alike and Spark runs one of them, and with it
     whatever comes before, once.
     """
-    laid_out = rows.withColumn("block", F.floor(F.col(order) / block_size)).repartition(*keys, "block")
+    laid_out = lay_out(rows, keys, F.floor(F.col(order) / block_size))
     every_row = F.hash(*rows.columns) >= -(2**31)
     counts = laid_out.groupBy(*keys, "block").agg(F.count_if(every_row).alias("n"))
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docketry.operators.numbering import lay_out
+
 # Fixed value: the label of a header item.
 HEADER_LABEL = "section_header"
 
@@ -94,7 +96,7 @@ def attach_sections(
     if block is not None:
         laid_out = items.select(*columns, F.col(block).alias("block"))
     else:
-        laid_out = items.select(*columns, _block(block_rows).alias("block")).repartition(*keys, "block")
+        laid_out = lay_out(items.select(*columns), keys, _block(block_rows))
 
     upward = _over([*keys, "block"], F.asc("row_idx"), 0)
     downward = _over([*keys, "block"], F.desc("row_idx"), 0)
