@@ -98,15 +98,17 @@ def attach_sections(
     else:
         laid_out = lay_out(items.select(*columns), keys, _block(block_rows))
 
-    upward = _over([*keys, "block"], F.asc("row_idx"), 0)
-    downward = _over([*keys, "block"], F.desc("row_idx"), 0)
+    # Two functions of one window: the rows of a block are sorted once.
+    inside = Window.partitionBy(*keys, "block").orderBy("row_idx")
+    next_in_block = F.expr("lead(header_idx) IGNORE NULLS").over(inside)
+    header_in_block = F.last(_header(), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     marked = (
         laid_out.join(_block_borders(laid_out, keys), [*keys, "block"], "left")
-        .withColumn("header", F.coalesce(F.last(_header(), ignorenulls=True).over(upward), F.col("before")))
-        .withColumn(
-            "next_header",
-            F.coalesce(F.last(_header()["row_idx"], ignorenulls=True).over(downward), F.col("after")),
-        )
+        .withColumn("header_idx", F.when(_is_header(), F.col("row_idx")))
+        .withColumns({
+            "header": F.coalesce(header_in_block, F.col("before")),
+            "next_header": F.coalesce(next_in_block, F.col("after")),
+        })
     )
     kept = ~_is_header() & F.col("header").isNotNull()
     if not keep_last_section:

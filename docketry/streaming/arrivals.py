@@ -84,7 +84,7 @@ def arrived_files(events: DataFrame, prefix: str = INPUT_PREFIX) -> tuple[DataFr
 
 def without_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
     """Events that name a file of which there are no pages."""
-    return files.join(pages.select("file_path"), "file_path", "left_anti").select(
+    return files.join(pages.select("file_path").distinct(), "file_path", "left_anti").select(
         "envelope", F.lit("no such object").alias("reason")
     )
 
