@@ -185,7 +185,7 @@ distances AS (
   SELECT q.qid, e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.vector), 9) AS d
   FROM embeddings e, queries q
 )
-SELECT qid, vec_id, round(d, 6) AS distance, rank FROM (
+SELECT qid, vec_id, round(d, 6) AS distance, rank::INTEGER AS rank FROM (
   SELECT qid, vec_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM distances
 ) WHERE rank <= 10"""
 
@@ -213,7 +213,7 @@ scored AS (
   FROM searches s JOIN terms t USING (term) JOIN postings p USING (term) JOIN lengths l USING (doc_id), corpus c
   GROUP BY s.qid, p.doc_id
 )
-SELECT qid, doc_id, round(score, 6) AS score, rank FROM (
+SELECT qid::BIGINT AS qid, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored
 ) WHERE rank <= 10"""
 )
