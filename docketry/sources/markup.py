@@ -14,37 +14,42 @@ from docketry.operators.numbering import number_rows
 
 # Parts that hold no text, block tags, and label of each kind.
 HIDDEN = (
-    r"(?is)<!--.*?-->|<!doctype[^>]*>|<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+    r"(?is)<(?:!--.*?-->|!doctype[^>]*>|head\b.*?</head\s*>|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 )
 BLOCK_TAG = (
     r"(?i)<(/?(?:h[1-6]|p|li|body|div|article|section|header|footer|main|nav|aside|ul|ol"
     r"|table|tr|td|th|blockquote|pre))\b[^>]*>"
 )
 INLINE_TAG = r"(?i)</?[a-z][^>]*>"
+SPACES = r"[ \t\r\n]{2,}|[\t\r\n]"  # all runs but the single blank, which stays as it is
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-HEADER_TAG = r"^h[1-6]$"
+HEADER_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LIST_TAG = "li"
 
 
 def text_blocks(html: Column) -> Column:
-    """`array<struct<label, text>>` of the non-empty blocks of one page."""
-    visible = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
+    """`array<struct<label, text>>` of the non-empty blocks of one page.
+
+    The costly steps run over the page as a whole, before it is split.
+    """
+    page = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     # Bytes 1 and 2 mark the tags; any in the input are blanked first.
-    clean = F.translate(visible, "\x01\x02", "  ")
-    marked = F.regexp_replace(clean, BLOCK_TAG, "\x01$1\x02")
-    pieces = F.split(F.concat(F.lit("\x02"), marked), "\x01")
+    for mark in ("\x01", "\x02"):
+        page = F.replace(page, F.lit(mark), F.lit(" "))
+    page = F.regexp_replace(page, BLOCK_TAG, "\x01$1\x02")
+    page = F.regexp_replace(page, INLINE_TAG, " ")
+    for entity, char in ENTITIES:
+        page = F.replace(page, F.lit(entity), F.lit(char))
+    page = F.regexp_replace(page, SPACES, " ")
 
     def block(piece: Column) -> Column:
         tag = F.lower(F.substring_index(piece, "\x02", 1))
-        text = F.regexp_replace(F.substring_index(piece, "\x02", -1), INLINE_TAG, " ")
-        for entity, char in ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        text = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
         label = (
-            F.when(tag.rlike(HEADER_TAG), "section_header").when(tag == LIST_TAG, "list_item").otherwise("text")
+            F.when(tag.isin(*HEADER_TAGS), "section_header").when(tag == LIST_TAG, "list_item").otherwise("text")
         )
-        return F.struct(label.alias("label"), text.alias("text"))
+        return F.struct(label.alias("label"), F.trim(F.substring_index(piece, "\x02", -1)).alias("text"))
 
+    pieces = F.split(F.concat(F.lit("\x02"), page), "\x01")
     return F.filter(F.transform(pieces, block), lambda b: b["text"] != "")
 
 
