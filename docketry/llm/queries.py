@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm.decontaminate import q_decontaminate
+from docketry.llm.packing import q_packing
+from docketry.llm.token_files import q_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": q_token_files,
+    "op5_packing": q_packing,
     "op10_decontamination": q_decontaminate,
 }
 
