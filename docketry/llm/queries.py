@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm.decontaminate import q_decontaminate
+from docketry.llm.language import q_language
 from docketry.llm.packing import q_packing
 from docketry.llm.token_files import q_token_files
+from docketry.llm.toxicity import q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": q_toxicity,
     "op3_token_files": q_token_files,
+    "op4_language": q_language,
     "op5_packing": q_packing,
     "op10_decontamination": q_decontaminate,
 }
