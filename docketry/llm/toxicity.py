@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docketry.llm.blocks import ALPHANUMERIC, Words, blocks, mix, windows, words
 from docketry.session import materialise
 
-MAX_ROWS = 24_000
+MAX_ROWS = 16_000
 SHARDS = 4
 # Share of the shards that must use a feature, and L1 per square root of a shard's rows.
 AGREE = 0.7
@@ -76,14 +76,17 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(hashed[a:b])
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, rates: tuple[float, float, float | None, float, int]) -> Model:
-    """Weights of one shard: hashes, weights and bias."""
+def ftrl(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rates: tuple[float, float, float | None, float, int]) -> Model:
+    """Weights of one shard, whose rows' features lie one after another: hashes, weights and bias."""
     alpha, beta, l1, l2, epochs = rates
-    l1 = SPARSE * len(rows) ** 0.5 if l1 is None else l1
-    keys, index = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_inverse=True)
-    ends = np.cumsum([len(r) for r in rows])
+    l1 = SPARSE * len(sizes) ** 0.5 if l1 is None else l1
+    keys, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    # The gradient of one row in one epoch is below 1, so what occurs in few rows stays at zero under L1.
+    frequent = seen * epochs > l1
+    keys, index = keys[frequent], np.where(frequent, np.cumsum(frequent), 0).astype(np.int32)[index]
+    ends = np.cumsum(sizes)
     # The bias is coordinate 0 and has no penalty.
-    coded = [np.append(index[a:b] + 1, 0) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    coded = [np.append(c[c > 0], 0) for c in (index[b - n:b] for b, n in zip(ends.tolist(), sizes.tolist()))]
     z, n, sparse = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1), np.full(len(keys) + 1, l1)
     sparse[0] = 0.0
 
@@ -107,13 +110,15 @@ def feature_rows(sample: DataFrame, allowed: np.ndarray | None = None) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(features(batch.column("text")))
-            if allowed is not None:
-                found = [np.intersect1d(f, allowed, assume_unique=True) for f in found]
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
-            flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "label")), lists], ["shard", "doc_id", "label", "features"])
+            for low in range(0, len(batch), 500):
+                some = batch.slice(low, 500)
+                found = list(features(some.column("text")))
+                if allowed is not None:
+                    found = [np.intersect1d(f, allowed, assume_unique=True) for f in found]
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)])
+                flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("shard", "doc_id", "label")), lists], ["shard", "doc_id", "label", "features"])
 
     return sample.mapInArrow(cut, "shard int, doc_id long, label int, features array<long>")
 
@@ -124,8 +129,8 @@ def fit_shards(rows: DataFrame, rates: tuple, most: int) -> dict[int | None, flo
     def learn(_: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         table = table.take(pa.array(np.random.default_rng(7).permutation(len(table))))
-        lists = [np.array(r, np.int64).view(np.uint64) for r in table.column("features").to_pylist()]
-        keys, weights, bias = ftrl(lists, table.column("label").to_numpy(), rates)
+        lists = table.column("features").combine_chunks()
+        keys, weights, bias = ftrl(lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy(), table.column("label").to_numpy(), rates)
         return pa.table({
             "feature": pa.array([None, *keys.view(np.int64).tolist()], pa.int64()),
             "weight": pa.array([bias, *weights.tolist()], pa.float64()),
