@@ -10,11 +10,13 @@ from docketry.llm.decontaminate import q_decontaminate
 from docketry.llm.language import q_language
 from docketry.llm.near_dedup import q_near_dedup
 from docketry.llm.packing import q_packing
+from docketry.llm.substring_dedup import q_substring_dedup
 from docketry.llm.token_files import q_token_files
 from docketry.llm.toxicity import q_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_toxicity,
+    "op2_substring_dedup": q_substring_dedup,
     "op3_token_files": q_token_files,
     "op4_language": q_language,
     "op5_packing": q_packing,
