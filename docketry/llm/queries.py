@@ -11,9 +11,11 @@ from docketry.llm.language import q_language
 from docketry.llm.near_dedup import q_near_dedup
 from docketry.llm.packing import q_packing
 from docketry.llm.personal_data import q_personal_data
+from docketry.llm.sharding import q_sharding
 from docketry.llm.substring_dedup import q_substring_dedup
 from docketry.llm.token_files import q_token_files
 from docketry.llm.toxicity import q_toxicity
+from docketry.llm.vector_tree import q_vector_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_toxicity,
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": q_token_files,
     "op4_language": q_language,
     "op5_packing": q_packing,
+    "op6_sharding": q_sharding,
+    "op7_vector_tree": q_vector_tree,
     "op8_personal_data": q_personal_data,
     "op9_near_dedup": q_near_dedup,
     "op10_decontamination": q_decontaminate,
