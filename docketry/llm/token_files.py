@@ -1,13 +1,13 @@
 """Token ids as ORC files: run-length encoded integers, row indexes, and Bloom filters on document ids.
 
-Documents are encoded where they are read, dealt by ranges of their id and sorted, and each
-range becomes one file. A row holds the document's ids as an integer array, which ORC
+Documents are dealt by ranges of their id, sorted and encoded, and each range becomes one
+file. A row holds the document's ids as an integer array, which ORC
 run-length encodes, and its first id's position within the file. Positions over all
 files follow from one total per file. Readers open stripes in parallel and skip stripes and
 row groups by their minima, maxima and Bloom filters of `doc_id`.
 
 Edge cases: null or empty text is the end id alone; rows with equal ids are kept, in the order of
-their ids' bytes; a null id sorts first; an empty table gives no rows; other columns are not read.
+their texts; a null id sorts first; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from docketry.llm.tokens import encoder
 from docketry.session import new_folder
 
 END_ID = 2
-ENCODED = "doc_id long, ids binary"
 STORED = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
 ORC_OPTIONS = {
@@ -37,29 +36,17 @@ ORC_OPTIONS = {
 }
 
 
-def encode_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids as little-endian 16-bit numbers."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
+    """Write all documents' ids below `path` in ascending order of `doc_id`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary, spaces_count=False)
         end = np.uint16(end_id).tobytes()
-        for batch in batches:
-            ids = [known.ids(text.as_py() or "") + end for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return texts.mapInArrow(encode, ENCODED)
-
-
-def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
-    """Write all documents' ids below `path` in ascending order of `doc_id`."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for low in range(0, len(batch), 500):
                 some = batch.slice(low, 500)
-                ids = some.column(1).to_pylist()
+                ids = [known.ids(text.as_py() or "") + end for text in some.column(1)]
                 counts = np.array([len(i) // 2 for i in ids], np.int64)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
@@ -72,8 +59,10 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
                 ], [f.split()[0] for f in STORED.split(", ")])
                 at += int(ends[-1])
 
-    ordered = encode_documents(documents, vocabulary, end_id).repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(number, STORED).write.options(**ORC_OPTIONS).orc(path)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Texts are dealt before they are encoded: drawing the ranges' borders then costs a scan and no encoding.
+    ordered = texts.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(encode, STORED).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:

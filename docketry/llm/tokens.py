@@ -3,21 +3,22 @@
 A byte-pair tokenizer first cuts a text into pieces that it encodes one by one, so the
 ids of a text are the ids of its units, as long as units end where pieces end. A space
 between two characters that are no white space is such a place in both vocabularies used
-here; so is the edge between a word and punctuation that ends it. The ids of a unit
-are kept per process, up to `CACHED` units.
+here; so is the edge between a letter and punctuation that ends a unit. A unit of letters is one piece, which
+the tokenizer's model encodes without the steps before it; all other units take the whole tokenizer.
+The ids of a unit are kept per process, up to `CACHED` units.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 from docketry.llm.blocks import per_process
 
-# Units that a process keeps, and the longest unit kept. About 60 MB.
-CACHED = 400_000
+# Units that a process keeps, and the longest unit kept. About 100 MB.
+CACHED = 500_000
 LONGEST = 48
 
 TAIL = ".,!?;:#$%&*"
@@ -25,20 +26,37 @@ _OTHER_SPACE = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+# Letters that lower-casing and composing treat one by one, in whatever order.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    A byte whose own character is visible stands for itself; the others take the characters from 256 on, in order.
+    """
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Units(dict):
     """Ids of units as little-endian 16-bit numbers; `lead` is put before each unit."""
 
-    def __init__(self, tokenizer, lead: str, tails: dict[str, bytes] | None):
-        self.tokenizer, self.lead, self.tails = tokenizer, lead, tails
+    def __init__(self, tokenizer, lead: str, lower: bool, tails: dict[str, bytes] | None):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+        self.lead, self.lower, self.tails = lead, lower, self if tails is None else tails
 
     def __missing__(self, unit: str) -> bytes:
         stem = unit.rstrip(TAIL)
         if stem and len(stem) < len(unit) and stem[-1].isalpha() and "<|" not in unit:
-            tail = unit[len(stem):]
-            return self.keep(unit, self[stem] + (self.tails[tail] if self.tails is not None else self[tail]))
-        return self.keep(unit, np.array(self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids, "<u2").tobytes())
-
-    def keep(self, unit: str, ids: bytes) -> bytes:
+            return self[stem] + self.tails[unit[len(stem):]]
+        if _PLAIN.fullmatch(unit):
+            piece = self.lead + (unit.lower() if self.lower else unit)
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = array("H", [token.id for token in found]).tobytes()
+        else:
+            ids = array("H", self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids).tobytes()
         if len(unit) <= LONGEST:
             if len(self) >= CACHED:
                 self.clear()
@@ -56,9 +74,11 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept in the machine's byte order, which must be little-endian")
         self.spaces_count = spaces_count
-        self.bare = _Units(tokenizer, "", None)
-        self.spaced = _Units(tokenizer, " ", self.bare) if spaces_count else self.bare
+        self.bare = _Units(tokenizer, "", not spaces_count, None)
+        self.spaced = _Units(tokenizer, " ", False, self.bare) if spaces_count else self.bare
 
     def ids(self, text: str) -> bytes:
         if not self.spaces_count:
