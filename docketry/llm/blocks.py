@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Bytes of text in a block. One text may be longer; it is then a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -196,9 +197,7 @@ def spread_marks(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.nd
     return np.cumsum(steps[:-1]) > 0
 
 
-def long_array(values: np.ndarray) -> pa.Array:
-    return pa.array(np.asarray(values, np.int64))
-
-
-def take_rows(batch: pa.RecordBatch, column: str, block: Block) -> pa.Array:
-    return batch.column(column).slice(block.first_row, len(block))
+def map_rows(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """`step` over whole rows of any column names; it sees the columns as `c0`, `c1` and so on."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(step, plain.schema).toDF(*df.columns)

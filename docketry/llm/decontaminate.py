@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketry.llm.blocks import ALPHANUMERIC, Block, Words, blocks, spread_marks, windows, words
+from docketry.llm.blocks import ALPHANUMERIC, Block, Words, blocks, map_rows, spread_marks, windows, words
 
 WINDOW = 13
 SHARE = 20
@@ -146,9 +146,10 @@ def remove_contaminated(
     spark = documents.sparkSession
     sets = [spark.sparkContext.broadcast(window_set(items, window)) for items in item_blocks(benchmark, "item_id", "text", block_limit)]
 
+    at = documents.columns.index(text)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
             clean, texts, row = [], [], 0
             for parts in zip(*(scan(batch.column(at), s.value) for s in sets)):
                 w = parts[0][0]
@@ -164,7 +165,7 @@ def remove_contaminated(
             elif clean:
                 yield batch.filter(pa.array(np.concatenate(clean)))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return map_rows(documents, keep)
 
 
 def cut_words(w: Words, marks: np.ndarray, row: int) -> str:

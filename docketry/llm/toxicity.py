@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketry.llm.blocks import ALPHANUMERIC, Words, blocks, mix, windows, words
+from docketry.llm.blocks import ALPHANUMERIC, Words, blocks, map_rows, mix, windows, words
 from docketry.session import materialise
 
 MAX_ROWS = 16_000
@@ -212,14 +212,14 @@ def score_documents(documents: DataFrame, model: Model, threshold: float = THRES
 def remove_toxic(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The documents that score below `threshold`, all columns kept."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = lookup_bits(shared.value[0])
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            yield batch.filter(pa.array(scores(column, shared.value, bits) < threshold))
+            yield batch.filter(pa.array(scores(batch.column(at), shared.value, bits) < threshold))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return map_rows(documents, keep)
 
 
 def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
