@@ -1,0 +1,93 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from docketry.llm import substring_dedup as s
+from docketry.llm.blocks import blocks, words
+from llm_data import ODD, odd_documents
+
+
+def brute(rows, window=13):
+    """The least document of every window, then every window against it."""
+    first = {}
+    cut = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in cut:
+        if i is not None:
+            for k in range(len(w) - window + 1):
+                x = tuple(w[k:k + window])
+                first[x] = min(first.get(x, i), i)
+    out = []
+    for i, w in cut:
+        gone = set()
+        if i is not None:
+            for k in range(len(w) - window + 1):
+                if first[tuple(w[k:k + window])] < i:
+                    gone.update(range(k, k + window))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_query_equals_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert rows_of(s.q_substring_dedup(spark, sf)) == brute(rows)
+
+
+def passages(n=60):
+    rng, vocabulary = random.Random(4), [f"w{i}" for i in range(40)]
+    shared = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(4)]
+    rows = []
+    for i in range(n):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        if i % 3:
+            at, passage = rng.randint(0, len(text)), rng.choice(shared)
+            text[at:at] = passage[rng.randint(0, 10):]
+        if i % 7 == 0:
+            text += ["same"] * 200
+        rows.append((rng.randint(-3, n), (" \n" if i % 2 else "\t").join(text)))
+    return rows
+
+
+def test_passages_with_small_buckets_and_chunks(spark):
+    rows = passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(s.remove_repeats(docs, bucket_bytes=500, chunk_bytes=300)) == brute(rows)
+    assert rows_of(s.remove_repeats(docs, window=5, bucket_bytes=5000, chunk_bytes=3000)) == brute(rows, 5)
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    out = s.remove_repeats(docs, with_text=True)
+    assert rows_of(out.drop("kept_text")) == brute(ODD)
+    texts = {r.doc_id: r.kept_text for r in out.collect()}
+    assert texts[8] == "" and texts[6] == "One TWO three four" and texts[1] == ""
+    assert s.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_runs_hold_every_window_once():
+    text = " ".join(random.Random(1).choice("ab cd ef gh".split()) for _ in range(500)) + " z" * 300
+    for block in blocks(pa.array([text, "a b", text[:200], None])):
+        w = words(block)
+        first, counts, _ = s.runs(w, 13)
+        found = np.sort(np.concatenate([np.arange(f, f + c) for f, c in zip(first, counts)]))
+        n = len(w.hash) - 12
+        assert np.array_equal(found, np.flatnonzero(w.row[:n] == w.row[12:]))
+        assert counts.max() <= s.LONGEST_RUN
+
+
+def test_equal_hashes_do_not_join_windows(monkeypatch):
+    """Even if every window had the same hash, windows would be told apart by their words."""
+    texts = [" ".join(random.Random(i % 3).choices("a b c".split(), k=20)) for i in range(6)]
+    for block in blocks(pa.array(texts)):
+        w = words(block)
+        starts, right = s.same_windows(w, 5)
+        monkeypatch.setattr(s, "windows", lambda h, k: np.zeros(len(h) - k + 1, np.uint64))
+        _, group = s.same_windows(w, 5)
+        same = lambda g: {tuple(np.flatnonzero(g == x)) for x in np.unique(g)}
+        assert same(group) == same(right) == same(np.unique([w.text(a, a + 5) for a in starts], return_inverse=True)[1])
