@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from docketry.llm.tokens import encoder
+from docketry.llm.blocks import ranges
+from docketry.llm.tokens import ended, encoder
 from docketry.session import materialise
 
 SEQUENCE = 1024
@@ -40,20 +41,28 @@ def cut_documents(documents: DataFrame, vocabulary: str, end_id: int = END_ID, s
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, spaces_count=True)
-        end = np.uint16(end_id).tobytes()
+        known = encoder(vocabulary, lower=False)
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encode.ids(text.as_py() or "") + end, "<u2").astype("<u4")
-                for start in range(0, len(ids), size):
-                    piece = ids[start:start + size]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, seen[len(piece)]))
-                    seen[len(piece)] += 1
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in PIECES.split(", ")])
+            for first, flat, counts in known.column_ids(batch.column(1)):
+                ids, borders = ended(flat, counts, end_id)
+                ids = ids.astype("<u4")
+                pieces = -(-(counts + 1) // size)
+                row = np.repeat(np.arange(len(counts)), pieces)
+                start = ranges(np.zeros(len(counts), np.int64), pieces) * size
+                length = np.minimum(size, (counts + 1)[row] - start)
+                at = borders[row] + start
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                # The rank of a piece among those of its length that this task has cut.
+                order = np.argsort(length, kind="stable")
+                ordered = length[order]
+                rank = np.empty(len(row), np.int64)
+                rank[order] = np.arange(len(row)) - np.searchsorted(ordered, ordered, "left") + seen[ordered]
+                seen += np.bincount(length, minlength=size + 1)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(first + row)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()),
+                    pa.array((counts + 1)[row]), pa.array(np.full(len(row), part, np.int32)), pa.array(rank),
+                ], [f.split()[0] for f in PIECES.split(", ")])
 
     return texts.mapInArrow(cut, PIECES)
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketry.llm.blocks import Block, Words, blocks, mix, ranges, spread_marks, windows, words
+from docketry.llm.blocks import Block, Words, blocks, mix, powers, ranges, spread_marks, windows, words
 from docketry.session import materialise
 
 WINDOW = 13
@@ -49,7 +49,7 @@ _CODEC = "zstd"
 def squeeze(values: np.ndarray | bytes) -> bytes:
     """Compressed bytes, the plain length before them."""
     raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=3).compress(raw, asbytes=True)
 
 
 def widen(blob: bytes) -> bytes:
@@ -91,17 +91,10 @@ def runs(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def run_keys(w: Words, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """128 bits for each run of words, as a structured array that sorts."""
     out = np.empty(len(first), [("a", "<u8"), ("b", "<u8")])
+    sums = np.zeros(len(w.hash) + 1, np.uint64)
     for name, base in (("a", 0x9E3779B97F4A7C55), ("b", 0xC2B2AE3D27D4EB4F)):
-        up = np.full(len(w.hash) + 1, base, np.uint64)
-        up[0] = 1
-        up = np.multiply.accumulate(up)
-        # Horner's form: the value of a run is sums[end] - sums[first] * base ** length.
-        inverse = np.uint64(pow(base, -1, 1 << 64))
-        down = np.full(len(w.hash) + 1, inverse, np.uint64)
-        down[0] = 1
-        down = np.multiply.accumulate(down)
-        sums = np.zeros(len(w.hash) + 1, np.uint64)
-        np.cumsum(w.hash * up[:-1], out=sums[1:])
+        up, down = powers(base, len(w.hash))
+        np.cumsum(w.hash * up[: len(w.hash)], out=sums[1:])
         out[name] = mix((sums[first + lengths] - sums[first]) * down[first] + lengths.astype(np.uint64))
     return out
 
@@ -158,11 +151,12 @@ def send(documents: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def same_windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of a bucket (first word) and the group of equal ones that each is in, exactly."""
+    """The windows of packed runs (first word) and the group of equal ones that each is in, exactly."""
     starts = np.flatnonzero(w.row[: len(w.row) - window + 1] == w.row[window - 1:])
-    lengths = w.ends - w.starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(w.data[ranges(w.starts, lengths)])])
+    # Every word with the one separator behind it, which is made the same for all.
+    data = np.where(w.data == 10, np.uint8(32), w.data)
+    offsets = np.append(w.starts, len(data))
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
     number = texts.dictionary_encode().indices.to_numpy().astype(np.int64)
     hashed = windows(mix(number.astype(np.uint64) + np.uint64(1)), window)[starts]
     order = np.argsort(hashed, kind="stable")

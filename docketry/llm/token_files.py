@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from docketry.llm.tokens import encoder
+from docketry.llm.tokens import ended, encoder
 from docketry.session import new_folder
 
 END_ID = 2
@@ -40,24 +40,19 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, end_id:
     """Write all documents' ids below `path` in ascending order of `doc_id`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(vocabulary, spaces_count=False)
-        end = np.uint16(end_id).tobytes()
+        known = encoder(vocabulary, lower=True)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                some = batch.slice(low, 500)
-                ids = [known.ids(text.as_py() or "") + end for text in some.column(1)]
-                counts = np.array([len(i) // 2 for i in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                flat = np.frombuffer(b"".join(ids), "<u2").astype(np.int32)
+            for first, flat, counts in known.column_ids(batch.column(1)):
+                ids, borders = ended(flat, counts, end_id)
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0),
-                    pa.array(np.full(len(ids), part, np.int32)),
-                    pa.array(at + ends[:-1]),
-                    pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
+                    batch.column(0).slice(first, len(counts)),
+                    pa.array(np.full(len(counts), part, np.int32)),
+                    pa.array(at + borders[:-1]),
+                    pa.array(counts + 1),
+                    pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids.astype(np.int32))),
                 ], [f.split()[0] for f in STORED.split(", ")])
-                at += int(ends[-1])
+                at += int(borders[-1])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Texts are dealt before they are encoded: drawing the ranges' borders then costs a scan and no encoding.

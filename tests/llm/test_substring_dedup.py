@@ -83,7 +83,7 @@ def test_runs_hold_every_window_once():
 
 def test_equal_hashes_do_not_join_windows(monkeypatch):
     """Even if every window had the same hash, windows would be told apart by their words."""
-    texts = [" ".join(random.Random(i % 3).choices("a b c".split(), k=20)) for i in range(6)]
+    texts = [" ".join(random.Random(i % 3).choices("a b c".split(), k=20)) + "\n" for i in range(6)]
     for block in blocks(pa.array(texts)):
         w = words(block)
         starts, right = s.same_windows(w, 5)
