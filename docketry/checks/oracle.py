@@ -42,12 +42,22 @@ sliced AS (
 )"""
 
 MARKDOWN = SLICE + r""",
+measured AS (
+  SELECT *, 'batch.' || regexp_extract(file_path, 'batch\.([0-9]+)\.pdf$', 1) AS stem,
+         coalesce(sum(octet_length(encode(page_text)) + 2) OVER (
+           PARTITION BY file_path, doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 67108864 AS piece
+  FROM sliced
+),
+parts AS (
+  SELECT *, dense_rank() OVER (PARTITION BY file_path, doc_id ORDER BY piece) - 1 AS part FROM measured
+),
 markdown AS (
-  SELECT file_path, 'batch.' || regexp_extract(file_path, 'batch\.([0-9]+)\.pdf$', 1) AS stem, doc_id,
-         (page - min_page) // 4096 AS part, count(*) AS n_pages,
-         'raw/cases_md/batch.' || regexp_extract(file_path, 'batch\.([0-9]+)\.pdf$', 1) || '/' || doc_id || '.md' AS object_path,
-         string_agg(page_text, chr(10) || chr(10) ORDER BY page) AS markdown
-  FROM sliced GROUP BY file_path, doc_id, (page - min_page) // 4096
+  SELECT file_path, stem, doc_id, part, max(part) OVER (PARTITION BY file_path, doc_id) + 1 AS n_parts, n_pages,
+         'raw/cases_md/' || stem || '/' || doc_id || CASE WHEN part = 0 THEN '' ELSE '.part' || part END || '.md' AS object_path, markdown
+  FROM (
+    SELECT file_path, stem, doc_id, part, count(*) AS n_pages, string_agg(page_text, chr(10) || chr(10) ORDER BY page) AS markdown
+    FROM parts GROUP BY file_path, stem, doc_id, part
+  )
 )"""
 
 CONVERSATION_ITEMS = r"""
@@ -81,7 +91,7 @@ attached AS (
 
 
 CASE_SECTIONS = (
-    FIRST
+    INDEX
     + r""",
 lines AS (
   SELECT file_path, page, role, unnest(string_split(text, chr(10))) AS text,
@@ -92,7 +102,7 @@ items AS (
   SELECT l.file_path, d.doc_id,
          row_number() OVER (PARTITION BY l.file_path, d.doc_id ORDER BY l.page, l.pos) - 1 AS row_idx,
          CASE WHEN l.role = 'user' AND l.pos = 1 THEN 'section_header' ELSE 'text' END AS label, l.text
-  FROM lines l JOIN first_documents d
+  FROM lines l JOIN page_index d
     ON l.file_path = d.file_path AND l.page BETWEEN d.min_page AND d.max_page
   WHERE l.text <> ''
 ),"""
@@ -189,6 +199,15 @@ SELECT qid, vec_id, round(d, 6) AS distance, rank::INTEGER AS rank FROM (
   SELECT qid, vec_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM distances
 ) WHERE rank <= 10"""
 
+KNN_MANY = r"""
+WITH distances AS (
+  SELECT q.vec_id AS qid, e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS d
+  FROM embeddings e JOIN embeddings q ON e.vec_id <> q.vec_id
+)
+SELECT qid, vec_id, round(d, 6) AS distance, rank::INTEGER AS rank FROM (
+  SELECT qid, vec_id, d, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM distances
+) WHERE rank <= 10"""
+
 POSTINGS = r"""
 postings AS (
   SELECT doc_id, term, count(*) AS tf
@@ -310,6 +329,16 @@ SELECT vec_id, round(sqrt(sum(x * x)), 6) AS norm, round(sum(x * pos) / sqrt(sum
 FROM places GROUP BY vec_id""",
     "vector_width_check": "SELECT vec_id, len(embedding)::INTEGER AS width, len(embedding) = 64 AS fits FROM embeddings",
     "knn_cosine": KNN,
+    "knn_many": KNN_MANY,
+    "ivf_assign": "SELECT vec_id, true AS nearest FROM embeddings",
+    "ann_search": "SELECT DISTINCT label AS qid, 10::BIGINT AS hits, true AS exact, true AS recalled FROM embeddings",
+    "markdown_objects": "WITH" + MARKDOWN + " SELECT object_path, md5(markdown) AS md5 FROM markdown",
+    "object_inventory": r"""
+WITH objects AS (
+  SELECT 'texts/' || source || '-' || (doc_id // 100) || '.txt' AS name, string_agg(coalesce(text, ''), chr(12) ORDER BY doc_id) AS body
+  FROM documents GROUP BY source, doc_id // 100
+)
+SELECT name, octet_length(encode(body))::BIGINT AS size, md5(body) AS md5 FROM objects""",
     "ann_search_full_probe": KNN,
     "fts_postings": "WITH" + POSTINGS + " SELECT * FROM postings",
     "fts_terms": "WITH" + POSTINGS + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM postings GROUP BY term",
@@ -318,5 +347,13 @@ FROM places GROUP BY vec_id""",
     "bm25_search": BM25,
     "stream_file_arrivals": "WITH" + FILE_PAGES + " SELECT DISTINCT file_path FROM file_pages",
     "stream_page_index": MESSAGES,
+    "stream_redelivery": MESSAGES,
+    "custom_embeddings": r"""
+WITH counts AS (
+  SELECT doc_id, [(len(t) - len(replace(t, x, '')))::DOUBLE FOR x IN ['a', 'e', 'i', 'o', 'u']] AS c
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+),
+normed AS (SELECT doc_id, c, sqrt(list_sum([x * x FOR x IN c])) AS n FROM counts)
+SELECT doc_id, """ + ", ".join(f"CASE WHEN n > 0 THEN round((c[{i + 1}] / n)::FLOAT::DOUBLE, 5) END AS v{i}" for i in range(5)) + " FROM normed",
     "stream_convert": "WITH" + MARKDOWN + " SELECT * FROM markdown",
 }

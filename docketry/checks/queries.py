@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docketry.checks import inputs
 from docketry.checks.inputs import load
 from docketry.functions.paths import last_segment, stem, uri_bucket, uri_path
-from docketry.functions.vectors import has_width, norm, unit
+from docketry.functions.vectors import cosine_distance, has_width, norm, unit
 from docketry.operators import fulltext, ivf
-from docketry.operators.embedding import IMAGE_SEED, IMAGE_WIDTH, TEXT_WIDTH, embed_hashed
+from docketry.operators.embedding import IMAGE_SEED, IMAGE_WIDTH, TEXT_WIDTH, embed, embed_hashed
 from docketry.operators.knn import knn_exact
 from docketry.operators.messages import count_attempts, dead_letter_split, document_messages
 from docketry.operators.paging import (
@@ -27,12 +28,14 @@ from docketry.plans import case_sections as cases
 from docketry.plans import product_catalog as catalog
 from docketry.session import new_folder, spread
 from docketry.sinks.catalog import replace_table
+from docketry.sinks.objects import write_objects
 from docketry.sources.envelopes import decode_envelopes
 from docketry.sources.markup import html_text_items
-from docketry.sources.objects import object_inventory
+from docketry.sources.objects import read_objects
 from docketry.sources.pages import pages_by_lines
 from docketry.sources.tables import distinct_prefixes, read_table
-from docketry.streaming.arrivals import arrived_files, file_events, start_index_stream
+from docketry.sinks.files import write_pages
+from docketry.streaming.arrivals import Layout, arrived_files, file_events, redeliver, start_index_stream
 from docketry.streaming.convert import read_markdown, start_convert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +43,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
 
 VECTOR_WIDTH = 64
+SUB_VECTORS = 4
 NEIGHBOURS = 10
 IMAGE_BUCKET = "lake"
+TEXTS_PER_OBJECT = 100
 
 # Query texts of the full-text search, by id.
 SEARCHES = {0: "worthless double ring", 1: "La que, des leur", 2: "the DER und"}
@@ -152,7 +157,25 @@ def q_distinct_prefixes(spark, sf_dir):
 
 
 def q_object_inventory(spark, sf_dir):
-    return object_inventory(spark, sf_dir, "*.parquet")
+    """The texts of each source as one object, written by the executors and read whole."""
+    texts = load(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    grouped = texts.groupBy("source", F.floor(F.col("doc_id") / TEXTS_PER_OBJECT).alias("group")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"]), "\f").alias("body")
+    )
+    objects = grouped.select(F.format_string("texts/%s-%d.txt", "source", "group").alias("object_path"), F.encode("body", "UTF-8").alias("content"))
+    root = new_folder(spark, "objects")
+    write_objects(objects, root).count()
+    name = F.concat(F.lit("texts/"), last_segment(F.col("file_path")))
+    return read_objects(spark, f"{root}/texts", "*.txt").select(name.alias("name"), "size", F.md5("content").alias("md5"))
+
+
+def q_markdown_objects(spark, sf_dir):
+    """One markdown object per document part at its fixed path, read back."""
+    documents = q_document_markdown(spark, sf_dir).select("object_path", F.encode("markdown", "UTF-8").alias("content"))
+    root = new_folder(spark, "objects")
+    write_objects(documents, root).count()
+    path = F.regexp_extract("file_path", "(raw/cases_md/.*)$", 1)
+    return read_objects(spark, root, "*.md").select(path.alias("object_path"), F.md5("content").alias("md5"))
 
 
 def q_catalog_enrich(spark, sf_dir):
@@ -200,6 +223,16 @@ def q_text_embeddings(spark, sf_dir):
     return _places(docs.select("doc_id", embed_hashed(F.col("text"), TEXT_WIDTH).alias("v")), "doc_id")
 
 
+def _vowel_counts():
+    """An encoder as a user would bring one: counts of five letters."""
+    return lambda texts: np.array([[text.count(letter) for letter in "aeiou"] for text in texts], dtype=float)
+
+
+def q_custom_embeddings(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", embed(F.col("text"), _vowel_counts).alias("v"))
+    return docs.select("doc_id", *[F.round(F.col("v")[i].cast("double"), 5).alias(f"v{i}") for i in range(5)])
+
+
 def q_image_desc_embeddings(spark, sf_dir):
     described = inputs.products(spark, sf_dir)
     return _places(
@@ -233,12 +266,25 @@ def q_knn_cosine(spark, sf_dir):
 
 def _ivf(spark, sf_dir, with_codes: bool) -> ivf.IvfIndex:
     return ivf.build_index(
-        load(spark, sf_dir, "embeddings"), "vec_id", "embedding", VECTOR_WIDTH, new_folder(spark, "ivf"), with_codes=with_codes
+        load(spark, sf_dir, "embeddings"), "vec_id", "embedding", VECTOR_WIDTH, new_folder(spark, "ivf"),
+        num_sub_vectors=SUB_VECTORS, with_codes=with_codes,
     )
 
 
+def q_knn_many(spark, sf_dir):
+    """Every vector is a query."""
+    table = load(spark, sf_dir, "embeddings")
+    queries = table.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return _neighbours(knn_exact(queries, table, "vec_id", "embedding", NEIGHBOURS, exclude_self=True))
+
+
 def q_ivf_assign(spark, sf_dir):
-    return _ivf(spark, sf_dir, with_codes=False).rows().select(F.col("id").alias("vec_id"), "part_id")
+    """Whether each row lies in the partition of its nearest centre."""
+    index = _ivf(spark, sf_dir, with_codes=False)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in index.centroids()])
+    gaps = F.transform(centres, lambda c: cosine_distance(F.col("vector"), c))
+    own = F.element_at("gaps", F.col("part_id") + 1)
+    return index.rows().withColumn("gaps", gaps).select(F.col("id").alias("vec_id"), (own <= F.array_min("gaps") + 1e-6).alias("nearest"))
 
 
 def q_ann_search_full_probe(spark, sf_dir):
@@ -248,8 +294,17 @@ def q_ann_search_full_probe(spark, sf_dir):
 
 
 def q_ann_search(spark, sf_dir):
-    index = _ivf(spark, sf_dir, with_codes=True)
-    return _neighbours(ivf.search_index(index, inputs.label_queries(spark, sf_dir), NEIGHBOURS, nprobe=2))
+    """For each query the number of hits, whether each distance is exact, and whether enough true neighbours are found."""
+    table, queries = load(spark, sf_dir, "embeddings"), inputs.label_queries(spark, sf_dir)
+    found = ivf.search_index(_ivf(spark, sf_dir, with_codes=True), queries, NEIGHBOURS, nprobe=ivf.NUM_PARTITIONS, refine_factor=30)
+    found = found.join(queries, "qid").join(table.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    exact = F.abs(F.col("distance") - cosine_distance(F.col("embedding"), F.col("vector"))) < 1e-6
+    true = knn_exact(queries, table, "vec_id", "embedding", NEIGHBOURS).select("qid", "id", F.lit(True).alias("true"))
+    return found.join(true, ["qid", "id"], "left").groupBy("qid").agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.bool_and(exact).alias("exact"),
+        (F.count("true") >= 0.8 * NEIGHBOURS).alias("recalled"),
+    )
 
 
 def q_fts_postings(spark, sf_dir):
@@ -299,11 +354,25 @@ def q_stream_page_index(spark, sf_dir):
     return spark.read.schema("key string, value string").option("recursiveFileLookup", "true").parquet(layout.messages)
 
 
+def q_stream_redelivery(spark, sf_dir):
+    """Half of the files have no pages when they are announced; their events come again."""
+    layout = Layout(new_folder(spark, "stream"))
+    pages = inputs.file_pages(spark, sf_dir).select("file_path", "page", "page_text")
+    early = F.pmod(F.xxhash64("file_path"), F.lit(2)) == 0
+    write_pages(pages.filter(early), layout.pages)
+    inputs.arrival_events(spark, sf_dir).repartition(4).write.parquet(layout.arrivals)
+    start_index_stream(spark, layout).awaitTermination()
+    write_pages(pages.filter(~early), layout.pages)
+    redeliver(spark, layout)
+    start_index_stream(spark, layout).awaitTermination()
+    return spark.read.schema("key string, value string").option("recursiveFileLookup", "true").parquet(layout.messages)
+
+
 def q_stream_convert(spark, sf_dir):
     layout = inputs.install_stream(spark, sf_dir)
     start_index_stream(spark, layout, max_files=2).awaitTermination()
     start_convert_stream(spark, layout).awaitTermination()
-    return read_markdown(spark, layout).drop("run", "batch", "file_key")
+    return read_markdown(spark, layout).drop("run", "batch", "bucket")
 
 
 QUERIES: dict[str, Query] = {name[2:]: fn for name, fn in globals().copy().items() if name.startswith("q_")}

@@ -34,6 +34,11 @@ def under_prefix(path: Column, prefix: str = INPUT_PREFIX) -> Column:
     return path.startswith(prefix)
 
 
-def markdown_path(stem_col: Column, doc_id: Column) -> Column:
-    """Where a document's markdown belongs: `raw/cases_md/{stem}/{doc_id}.md`."""
-    return F.concat(F.lit(OUTPUT_PREFIX), stem_col, F.lit("/"), doc_id, F.lit(MARKDOWN_SUFFIX))
+def markdown_path(stem_col: Column, doc_id: Column, part: Column | None = None) -> Column:
+    """Where a document's markdown belongs: `raw/cases_md/{stem}/{doc_id}.md`.
+
+    Every part of a document has a path of its own: part 0 the one above, part `n` the same with `.part{n}`
+    before the suffix.
+    """
+    number = F.lit("") if part is None else F.when(part == 0, "").otherwise(F.concat(F.lit(".part"), part.cast("string")))
+    return F.concat(F.lit(OUTPUT_PREFIX), stem_col, F.lit("/"), doc_id, number, F.lit(MARKDOWN_SUFFIX))

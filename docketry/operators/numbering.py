@@ -20,6 +20,14 @@ def lay_out(rows: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     return placed.filter(known).repartition(*keys, "block")
 
 
+def unplaced(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The rows that `number_rows` leaves out, as they have no group or no place in it."""
+    missing = F.lit(False)
+    for column in [*keys, order]:
+        missing |= F.col(column).isNull()
+    return rows.filter(missing)
+
+
 def number_rows(
     rows: DataFrame,
     keys: Sequence[str],

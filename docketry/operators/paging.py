@@ -13,6 +13,9 @@ from docketry.functions.stamps import stamp_pattern, stamped_document, stamped_p
 
 DOCUMENT_KEY = ("file_path", "doc_id")
 
+# Bytes of text after which a document goes on in a further part.
+PART_BYTES = 64 << 20
+
 
 def page_stamps(pages: DataFrame, loose: bool = False) -> DataFrame:
     """The first stamp of each page; pages without one are dropped."""
@@ -61,26 +64,39 @@ def page_range_slice(pages: DataFrame, ranges: DataFrame, bin_pages: int = 64) -
     )
 
 
-def assemble_documents(slices: DataFrame, pages_per_part: int = 4096) -> DataFrame:
+def assemble_documents(slices: DataFrame, part_bytes: int = PART_BYTES, block_pages: int = 4096) -> DataFrame:
     """Text of each document from its pages, in page order.
 
-    A document is written in parts of `pages_per_part` pages, numbered from 0,
-    so that one gathered group stays bounded however long the document is; up to
-    that length part 0 is the whole document. Parts in order, joined by the same
-    blank line, give the text.
+    A document is written in parts, numbered from 0, each with a path of its own and `n_parts` beside it. A
+    part ends after the page that takes it to `part_bytes`, so that a gathered group is bounded however long the
+    document is. Parts in order, joined by the same blank line, give the text.
     """
-    part = F.floor((F.col("page") - F.col("min_page")) / pages_per_part)
-    ordered = F.sort_array(F.collect_list(F.struct("page", F.coalesce("page_text", F.lit("")).alias("text"))))
+    text = F.coalesce("page_text", F.lit("")).alias("text")
+    block = F.floor((F.col("page") - F.col("min_page")) / block_pages).alias("block")
+    pages = slices.select(*DOCUMENT_KEY, "page", text, block).withColumn("bytes", F.octet_length("text") + 2)
+    # Bytes before a page: those of earlier blocks and, within the block, of earlier pages.
+    earlier = Window.partitionBy(*DOCUMENT_KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*DOCUMENT_KEY, "block").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = pages.groupBy(*DOCUMENT_KEY, "block").agg(F.sum("bytes").alias("block_bytes"))
+    blocks = blocks.select(*DOCUMENT_KEY, "block", F.coalesce(F.sum("block_bytes").over(earlier), F.lit(0)).alias("before"))
+    at = F.col("before") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))
+    cut = pages.join(blocks, [*DOCUMENT_KEY, "block"]).withColumn("at", at).withColumn("piece", F.floor(F.col("at") / part_bytes))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
+    gathered = cut.groupBy(*DOCUMENT_KEY, "piece").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("markdown")
+    )
+    # A page longer than a part leaves pieces empty, so parts are counted.
+    of_document = Window.partitionBy(*DOCUMENT_KEY)
+    numbers = cut.select(*DOCUMENT_KEY, "piece").distinct().select(
+        *DOCUMENT_KEY, "piece",
+        (F.row_number().over(of_document.orderBy("piece")) - 1).cast("bigint").alias("part"),
+        F.count(F.lit(1)).over(of_document).alias("n_parts"),
+    )
     return (
-        slices.withColumn("part", part)
-        .groupBy(*DOCUMENT_KEY, "part")
-        .agg(
-            F.count(F.lit(1)).alias("n_pages"),
-            F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("markdown"),
-        )
+        gathered.join(numbers, [*DOCUMENT_KEY, "piece"])
         .withColumn("stem", stem(F.col("file_path")))
-        .withColumn("object_path", markdown_path(F.col("stem"), F.col("doc_id")))
-        .select("file_path", "stem", "doc_id", "part", "n_pages", "object_path", "markdown")
+        .withColumn("object_path", markdown_path(F.col("stem"), F.col("doc_id"), F.col("part")))
+        .select("file_path", "stem", "doc_id", "part", "n_parts", "n_pages", "object_path", "markdown")
     )
 
 

@@ -13,13 +13,9 @@ from docketry.plans.indexes import TableIndexes, build_indexes
 from docketry.sinks.catalog import replace_table
 from docketry.sources.markup import explode_blocks
 
-# Fixed value: documents taken per file.
-FIRST_DOCUMENTS = 4
-
 NAMESPACE = "sandbox"
 TABLE = "case_sections"
 
-
 # Pages whose items are numbered in one window.
 BLOCK_PAGES = 4096
 
@@ -37,11 +33,11 @@ def document_items(pages: DataFrame, ranges: DataFrame, block_pages: int = BLOCK
 
 def case_sections(
     pages: DataFrame,
-    n: int | None = FIRST_DOCUMENTS,
+    n: int | None = None,
     keep_last_section: bool = False,
     block_pages: int = BLOCK_PAGES,
 ) -> DataFrame:
-    """Sectioned items of the first `n` documents per file, of all with `n=None`.
+    """Sectioned items of all documents, or of the first `n` of each file.
 
     `pages` has `(file_path, page, page_text, blocks)`.
     """

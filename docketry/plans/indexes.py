@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 from docketry.operators import fulltext, ivf
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class TableIndexes:
-    """The indexes a table has; a column too small for a vector index is None."""
+    """The indexes a table has; None for one that could not be built."""
 
     vectors: dict[str, ivf.IvfIndex | None] = field(default_factory=dict)
     text: fulltext.TextIndex | None = None
@@ -23,12 +26,18 @@ def build_indexes(
 ) -> TableIndexes:
     """Index vector columns of the given widths and a text column below `path`.
 
-    A vector column with too few rows to train on is left to the exact scan, which
-    `ivf.search` then uses; that is not an error.
+    An index is an extra: when one fails, the reason is logged and searches scan the table instead.
     """
     built = TableIndexes()
     for column, width in vectors.items():
-        built.vectors[column] = ivf.try_build_index(table, id_col, column, width, f"{path}/{column}", **options)
+        try:
+            built.vectors[column] = ivf.build_index(table, id_col, column, width, f"{path}/{column}", **options)
+        except Exception:
+            log.warning("no vector index for %s", column, exc_info=True)
+            built.vectors[column] = None
     if text is not None:
-        built.text = fulltext.build_index(table, id_col, text, f"{path}/{text}")
+        try:
+            built.text = fulltext.build_index(table, id_col, text, f"{path}/{text}")
+        except Exception:
+            log.warning("no text index for %s", text, exc_info=True)
     return built

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +26,12 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-_local_root: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as named by `spark.checkpoint.dir`.
-
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its machine.
-    """
-    global _local_root
+    """The folder all executors see, as named by `spark.checkpoint.dir`."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="docketry-")
-    return _local_root
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -1,38 +1,38 @@
 """Pages, messages and markdown documents as files below a path.
 
-Pages and documents are kept in one folder per source file, as an object store keeps
-one object per file: a job that is told of a file goes straight to its folder and
-never lists the others. The folder is named after a digest of the full path, as two
-files may share a stem.
+Pages and documents lie in `BUCKETS` folders by the first digits of a digest of the source file's full path, and are
+sorted by it: a job that is told of some files opens their folders and reads their row groups. The number of folders
+does not grow with the number of files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-PAGE_SCHEMA = "file_path string, page bigint, page_text string, file_key string"
+PAGE_SCHEMA = "file_path string, page bigint, page_text string, bucket string"
 MARKDOWN_SCHEMA = (
-    "file_path string, stem string, doc_id string, part bigint, n_pages bigint, object_path string, "
-    "markdown string, file_key string, run string, batch bigint"
+    "file_path string, stem string, doc_id string, part bigint, n_parts bigint, n_pages bigint, object_path string, "
+    "markdown string, bucket string, run string, batch bigint"
 )
 
-# Files whose folders are read one by one; beyond, the whole store is read and joined.
-MAX_FOLDERS = 2_000
+# Fixed value: folders of a store, named by two hexadecimal digits.
+BUCKETS = 256
 
 
-def file_key(file_path: Column | None = None) -> Column:
-    return F.md5((F.col("file_path") if file_path is None else file_path).cast("binary"))
+def bucket(file_path: Column | None = None) -> Column:
+    path = F.col("file_path") if file_path is None else file_path
+    return F.substring(F.md5(path.cast("binary")), 1, 2)
 
 
 def write_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
     """Write `(file_path, page, page_text)`; ranges keep a long file in several tasks."""
     (
-        pages.withColumn("file_key", file_key())
-        .repartitionByRange("file_key", "page")
+        pages.withColumn("bucket", bucket())
+        .repartitionByRange("bucket", "file_path", "page")
+        .sortWithinPartitions("bucket", "file_path", "page")
         .write.mode(mode)
-        .partitionBy("file_key")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
@@ -43,11 +43,12 @@ def write_markdown(documents: DataFrame, path: str, run: str = "batch", batch: i
     Done again, the batch replaces its own folders and no others.
     """
     (
-        documents.withColumns({"file_key": file_key(), "run": F.lit(run), "batch": F.lit(batch)})
-        .repartitionByRange("file_key", "doc_id", "part")
+        documents.withColumns({"bucket": bucket(), "run": F.lit(run), "batch": F.lit(batch)})
+        .repartitionByRange("bucket", "file_path", "doc_id", "part")
+        .sortWithinPartitions("bucket", "file_path", "doc_id", "part")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("file_key", "run", "batch")
+        .partitionBy("bucket", "run", "batch")
         .parquet(path)
     )
 
@@ -56,35 +57,22 @@ def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None
     messages.write.mode(mode).parquet(path)
 
 
-def existing_paths(spark: SparkSession, paths: Iterable[str]) -> list[str]:
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    found = []
-    for path in paths:
-        target = hadoop.Path(path)
-        if target.getFileSystem(conf).exists(target):
-            found.append(path)
-    return found
-
-
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Everything below `path`; empty when there is nothing yet."""
-    if not existing_paths(spark, [path]):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
-def read_folders(spark: SparkSession, path: str, schema: str, names: Iterable[str]) -> DataFrame:
-    """The named partition folders of a table, as far as they exist; no other is listed."""
-    folders = existing_paths(spark, [f"{path}/{name}" for name in names])
-    if not folders:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
 
 def read_files(spark: SparkSession, path: str, schema: str, files: DataFrame) -> DataFrame:
-    """The stored rows of the files named in the `file_path` column of `files`."""
-    named = files.select("file_path", file_key().alias("file_key")).distinct()
-    keys = [row["file_key"] for row in named.select("file_key").limit(MAX_FOLDERS + 1).collect()]
-    if len(keys) > MAX_FOLDERS:
-        return read_store(spark, path, schema).join(named, ["file_path", "file_key"], "left_semi")
-    return read_folders(spark, path, schema, [f"file_key={key}" for key in keys])
+    """The stored rows of the files named in the `file_path` column of `files`.
+
+    At most `BUCKETS` names come to the driver, and only these folders are opened.
+    """
+    named = files.select("file_path", bucket().alias("bucket")).distinct()
+    buckets = [row["bucket"] for row in named.select("bucket").distinct().collect()]
+    stored = read_store(spark, path, schema).where(F.col("bucket").isin(buckets))
+    return stored.join(named, ["file_path", "bucket"], "left_semi")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry.functions.paths import uri_bucket
-from docketry.operators.numbering import number_rows
+from docketry.operators.numbering import number_rows, unplaced
 
 # Parts that hold no text, block tags, and label of each kind.
 HIDDEN = (
@@ -53,6 +53,11 @@ def text_blocks(html: Column) -> Column:
     return F.filter(F.transform(pieces, block), lambda b: b["text"] != "")
 
 
+def unplaced_pages(pages: DataFrame) -> DataFrame:
+    """Pages without a url or a number, whose items `html_text_items` cannot place."""
+    return unplaced(pages, ["url"], "page_id")
+
+
 def html_text_items(pages: DataFrame, block_pages: int = 4096) -> DataFrame:
     """Items of every host, numbered through its pages by `page_id`.
 

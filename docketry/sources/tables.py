@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketry.functions.paths import last_segment, uri_bucket, uri_path
+from docketry.sinks.catalog import show_version, table_path
+from docketry.sinks.versions import published
 
 
 def find_table(spark: SparkSession, namespace: str, table: str) -> str:
-    """Qualified name of an existing table, `ValueError` when there is none."""
+    """Qualified name of an existing table, `ValueError` when there is none.
+
+    A table that another session published is looked up by its path and shown in this session's catalog.
+    """
     name = f"{namespace}.{table}"
-    if not spark.catalog.databaseExists(namespace) or not spark.catalog.tableExists(name):
+    last = published(spark, table_path(spark, namespace, table))
+    if last is not None:
+        show_version(spark, namespace, table, last["folder"])
+    elif not spark.catalog.databaseExists(namespace) or not spark.catalog.tableExists(name):
         raise ValueError(f"table not found: {name}")
     return name
 

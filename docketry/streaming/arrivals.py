@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docketry import schemas
 from docketry.functions.paths import INPUT_PREFIX, under_prefix
-from docketry.operators.messages import document_messages
+from docketry.operators.messages import MAX_DELIVERY_ATTEMPTS, dead_letter_split, document_messages
 from docketry.operators.paging import page_index, page_stamps
-from docketry.sinks.files import PAGE_SCHEMA, read_files, write_messages
+from docketry.session import materialise
+from docketry.sinks.files import PAGE_SCHEMA, read_files, read_store, write_messages
 from docketry.sources.envelopes import decode_envelopes, split_decoded
 
 
@@ -49,6 +50,10 @@ class Layout:
     def failures(self) -> str:
         return f"{self.root}/failures"
 
+    @property
+    def redelivered(self) -> str:
+        return f"{self.root}/redelivered"
+
     def checkpoint(self, name: str) -> str:
         """A new `generation` starts the streams afresh on the same data."""
         return f"{self.root}/checkpoints-{self.generation}/{name}"
@@ -94,12 +99,41 @@ def record_failures(failed: DataFrame, path: str) -> None:
     failed.select(F.col("envelope").alias("message"), "reason").write.mode("overwrite").parquet(path)
 
 
+FAILURES = "message string, reason string, run string, batch bigint, stage string"
+REDELIVERED = "message string, stage string"
+
+
 def read_failures(spark: SparkSession, layout: Layout) -> DataFrame:
-    return (
-        spark.read.schema("message string, reason string")
-        .option("recursiveFileLookup", "true")
-        .parquet(layout.failures)
+    return read_store(spark, layout.failures, FAILURES)
+
+
+def outstanding(spark: SparkSession, layout: Layout, max_attempts: int = MAX_DELIVERY_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """Messages to deliver again and messages to give up, as `(stage, message, attempts)`.
+
+    A message is open while it has failed more often than it was delivered again; one whose last delivery went
+    well is neither.
+    """
+    by = ["stage", "message"]
+    failed = read_failures(spark, layout).groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"))
+    again = read_store(spark, layout.redelivered, REDELIVERED).groupBy(*by).agg(F.count(F.lit(1)).alias("again"))
+    still = failed.join(again, by, "left").filter(F.col("attempts") > F.coalesce("again", F.lit(0))).drop("again")
+    return dead_letter_split(still, max_attempts)
+
+
+def redeliver(spark: SparkSession, layout: Layout, max_attempts: int = MAX_DELIVERY_ATTEMPTS) -> None:
+    """Put open messages under the limit where their stream reads new ones.
+
+    Delivery is at least once: what dies between the two writes is delivered again, which the streams bear.
+    """
+    retry, _ = outstanding(spark, layout, max_attempts)
+    retry = materialise(retry.select("stage", "message"), "redelivery")
+    if retry.isEmpty():
+        return
+    retry.filter("stage = 'index'").select(F.col("message").alias("envelope")).write.mode("append").parquet(layout.arrivals)
+    retry.filter("stage = 'convert'").select(F.lit(None).cast("string").alias("key"), F.col("message").alias("value")).write.mode("append").parquet(
+        f"{layout.messages}/redelivered"
     )
+    retry.select("message", "stage").write.mode("append").parquet(layout.redelivered)
 
 
 def start_index_stream(

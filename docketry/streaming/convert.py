@@ -22,10 +22,11 @@ def read_markdown(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def decode_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`(file_path, doc_id, min_page, max_page)` and rows that do not parse."""
-    parsed = messages.select(
-        F.col("value").alias("envelope"), F.from_json("value", schemas.DOCUMENT_MESSAGE).alias("m")
-    )
+    """`(file_path, doc_id, min_page, max_page)` and rows that do not parse; page numbers may come as strings."""
+    as_text = ", ".join(f"{name} string" for name in schemas.DOCUMENT_MESSAGE.fieldNames())
+    parsed = messages.select(F.col("value").alias("envelope"), F.from_json("value", as_text).alias("m"))
+    for field in schemas.DOCUMENT_MESSAGE:
+        parsed = parsed.withColumn("m", F.col("m").withField(field.name, F.col("m")[field.name].try_cast(field.dataType)))
     complete = F.lit(True)
     for field in schemas.DOCUMENT_MESSAGE.fieldNames():
         complete = complete & F.col("m")[field].isNotNull()
@@ -55,7 +56,7 @@ def start_convert_stream(spark: SparkSession, layout: Layout, max_files: int = 1
         record_failures(bad, f"{layout.failures}/run={run_name}/batch={batch_id}/stage=convert")
         wanted = good.dropDuplicates(list(DOCUMENT_KEY))
         todo = unconverted(wanted, already_written(session, layout, wanted, run_name, batch_id))
-        pages = read_files(session, layout.pages, PAGE_SCHEMA, wanted).drop("file_key")
+        pages = read_files(session, layout.pages, PAGE_SCHEMA, wanted).drop("bucket")
         write_markdown(assemble_documents(page_range_slice(pages, todo)), layout.markdown, run_name, batch_id)
 
     return (

@@ -15,7 +15,7 @@ def main() -> None:
     options.add_argument("--namespace", default=cases.NAMESPACE)
     options.add_argument("--table", default=cases.TABLE)
     options.add_argument("--index-path", help="where to write the indexes; none without it")
-    options.add_argument("--documents", type=int, default=cases.FIRST_DOCUMENTS, help="per file; 0 for all")
+    options.add_argument("--documents", type=int, help="the first so many of each file; all without it")
     options.add_argument("--keep-last-section", action="store_true")
     args = options.parse_args()
 
@@ -24,7 +24,7 @@ def main() -> None:
         spark.read.parquet(args.pages),
         args.namespace,
         args.table,
-        n=args.documents or None,
+        n=args.documents,
         keep_last_section=args.keep_last_section,
     )
     if args.index_path:

@@ -1,6 +1,6 @@
 """Arrival events -> document messages -> markdown, up to what has arrived.
 
-Run it on a schedule; a run goes on where the last one stopped. `--root` is a folder
+Run it on a schedule; a run goes on where the last one stopped and delivers failed events again, up to the limit. `--root` is a folder
 with `arrivals/` (envelopes) and `pages/` (one folder per source file).
 
 spark-submit jobs/document_stream.py --root s3a://lake/stream --max-files 100
@@ -9,10 +9,10 @@ spark-submit jobs/document_stream.py --root s3a://lake/stream --max-files 100
 import argparse
 
 from docketry.functions.paths import INPUT_PREFIX
-from docketry.operators.messages import MAX_DELIVERY_ATTEMPTS, count_attempts, dead_letter_split
+from docketry.operators.messages import MAX_DELIVERY_ATTEMPTS
 from docketry.session import build_session
 from docketry.sinks.catalog import replace_table
-from docketry.streaming.arrivals import Layout, read_failures, start_index_stream
+from docketry.streaming.arrivals import Layout, outstanding, redeliver, start_index_stream
 from docketry.streaming.convert import start_convert_stream
 
 
@@ -27,9 +27,10 @@ def main() -> None:
 
     spark = build_session("document-stream")
     layout = Layout(args.root.rstrip("/"))
+    redeliver(spark, layout, args.max_attempts)
     start_index_stream(spark, layout, args.max_files, args.prefix).awaitTermination()
     start_convert_stream(spark, layout, args.max_files).awaitTermination()
-    _, dead = dead_letter_split(count_attempts(read_failures(spark, layout)), args.max_attempts)
+    _, dead = outstanding(spark, layout, args.max_attempts)
     replace_table(dead, args.namespace, "dead_letters")
     spark.stop()
 

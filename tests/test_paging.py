@@ -101,13 +101,15 @@ def test_documents_are_whole_whatever_the_part_size(spark):
     sliced = page_range_slice(sample(spark), index)
     whole = rows(assemble_documents(sliced), "file_path", "doc_id", "markdown")
     assert whole[0] == (F1, "5", "Num. 5 - Pág. 1\n\nno stamp\n\nNum. 6 - Pág. 1\n\nNum. 5 - Pág. 2")
-    parts = assemble_documents(sliced, pages_per_part=3)
-    assert parts.filter("doc_id = '5' AND stem = 'a.b'").count() == 2
+    parts = assemble_documents(sliced, part_bytes=20, block_pages=2)
+    five = rows(parts.filter("doc_id = '5' AND stem = 'a.b'"), "part", "n_parts")
+    assert five == [(0, 3), (1, 3), (2, 3)]
     joined = parts.groupBy("file_path", "doc_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "markdown"))), lambda p: p["markdown"]), "\n\n").alias("m")
     )
     assert rows(joined) == whole
-    assert rows(parts.filter("stem = 'a.b'").select("object_path").distinct())[0] == ("raw/cases_md/a.b/5.md",)
+    assert parts.select("object_path").distinct().count() == parts.count()
+    assert rows(parts.filter("stem = 'a.b' AND doc_id = '5'"), "object_path") == [(f"raw/cases_md/a.b/5{p}.md",) for p in ("", ".part1", ".part2")]
 
 
 def test_skip_is_by_full_path(spark):

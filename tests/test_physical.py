@@ -73,6 +73,15 @@ def test_exact_search_does_not_shuffle_the_table(spark, sf):
     assert "Exchange" not in below and "WindowGroupLimit" in plan
 
 
+def test_all_vectors_as_queries_move_no_vector(spark, sf):
+    plan = queries.q_knn_many(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[plan.rindex("MapInArrow"):] and "Join" not in plan
+
+
+def test_postings_are_not_shuffled(spark, sf):
+    assert "Exchange" not in queries.q_fts_postings(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_document_is_many_tasks(spark):
     """One document with most of the rows is cut into blocks, and no block exceeds its bound."""
     rows = spark.range(20_000).select(

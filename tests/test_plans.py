@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from docketry.checks.queries import QUERIES
 from docketry.checks import inputs
 from docketry.operators.sections import attach_sections_join
 from docketry.plans import case_sections as cases
@@ -60,10 +61,8 @@ def test_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plans_have_no_cross_join(spark, sf, name):
-    if name.startswith("stream_") or name in ("ann_search", "ann_search_full_probe", "ivf_assign"):
-        pytest.skip("runs jobs of its own")
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 

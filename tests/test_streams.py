@@ -10,8 +10,8 @@ from docketry import schemas
 from docketry.session import new_folder
 from docketry.sinks.files import write_pages
 from docketry.sources.envelopes import encode_envelopes
-from docketry.streaming.arrivals import Layout, read_failures, start_index_stream
-from docketry.streaming.convert import read_markdown, start_convert_stream
+from docketry.streaming.arrivals import Layout, outstanding, read_failures, redeliver, start_index_stream
+from docketry.streaming.convert import decode_messages, read_markdown, start_convert_stream
 
 DOC = ("file_path", "doc_id", "part", "markdown")
 
@@ -96,3 +96,25 @@ def test_files_with_one_stem_stay_apart(spark, sf):
     assert rows(read_markdown(spark, layout), "file_path", "stem", "markdown") == [
         (f"gs://lake/raw/cases_pdf/{d}/x.pdf", "x", f"{d} Num. 7 - Pág. 1\n\n{d} Num. 7 - Pág. 2") for d in "ab"
     ]
+
+
+def test_failed_events_come_again_up_to_the_limit(spark, sf):
+    layout = Layout(new_folder(spark, "stream"))
+    late = [("gs://lake/raw/cases_pdf/late.pdf", 1, "Num. 7 - Pág. 1")]
+    write_pages(spark.createDataFrame([("gs://lake/raw/cases_pdf/x.pdf", 1, "none")], schemas.PAGE), layout.pages)
+    announce(spark, layout, ["raw/cases_pdf/late.pdf", "raw/cases_pdf/never.pdf"])
+    run(spark, layout, 100)
+    write_pages(spark.createDataFrame(late, schemas.PAGE), layout.pages)
+    for attempt in range(2, 7):
+        redeliver(spark, layout)
+        run(spark, layout, 100)
+        assert rows(read_markdown(spark, layout), "file_path", "doc_id") == [("gs://lake/raw/cases_pdf/late.pdf", "7")]
+    retry, dead = outstanding(spark, layout)
+    assert retry.count() == 0 and rows(dead, "stage", "attempts") == [("index", 5)]
+
+
+def test_page_numbers_may_be_strings(spark):
+    message = '{"doc_id":"7","min_page":"3","max_page":4,"bucket":"b","file_path":"x.pdf"}'
+    rest = ['{"doc_id":"7","min_page":"x","max_page":4,"bucket":"b","file_path":"x.pdf"}', "no json", '{"doc_id":"7"}']
+    good, bad = decode_messages(spark.createDataFrame([(m,) for m in [message, *rest]], "value string"))
+    assert rows(good) == [("gs://b/x.pdf", "7", 3, 4)] and bad.count() == 3

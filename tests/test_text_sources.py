@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F, types as T
@@ -9,7 +13,9 @@ from docketry.sources.envelopes import decode_envelopes, encode_envelopes, split
 from docketry.sources.markup import html_text_items
 from docketry.sources.objects import object_inventory, read_objects
 from docketry.sources.tables import distinct_prefixes, find_table, find_table_folder, read_table
-from docketry.sinks.catalog import replace_table
+from docketry.sinks.catalog import replace_table, table_path
+from docketry.sinks.objects import write_objects
+from docketry.sinks.versions import outdated
 
 
 @pytest.mark.parametrize(
@@ -134,7 +140,49 @@ def test_replace_table(spark):
     # The new rows may be computed from the rows they replace, with another schema.
     replace_table(spark.table(name).selectExpr("id + 1 AS id", "'x' AS tag"), "swap_ns", "t")
     assert rows(spark.table(name)) == [(1, "x"), (2, "x"), (3, "x")]
-    assert len([t for t in spark.catalog.listTables("swap_ns") if t.name.startswith("t__v_")]) == 1
+    # Replaced versions are emptied once their time is over.
+    replace_table(spark.range(1), "swap_ns", "t", retention_s=0)
+    path = table_path(spark, "swap_ns", "t")
+    assert outdated(spark, path, 0) == [] and rows(spark.table(name)) == [(0,)]
+
+
+def test_readers_bear_a_replace(spark):
+    name = replace_table(spark.range(3), "reader_ns", "t")
+    reader = spark.table(name)
+    replace_table(spark.range(9), "reader_ns", "t")
+    assert reader.count() == 3 and read_table(spark, "reader_ns", "t").count() == 9
+
+
+def test_a_plain_table_gives_way(spark):
+    spark.sql("CREATE NAMESPACE IF NOT EXISTS plain_ns")
+    spark.range(2).write.mode("overwrite").saveAsTable("plain_ns.t")
+    assert spark.table(replace_table(spark.range(5), "plain_ns", "t")).count() == 5
+
+
+OTHER_SESSION = """
+import sys
+sys.path.insert(0, {root!r})
+from docketry.session import build_session
+from docketry.sources.tables import read_table
+spark = build_session("other", "local[1]", spark__ui__enabled="false", spark__sql__warehouse__dir={warehouse!r})
+print("rows", read_table(spark, "shared_ns", "t").count())
+"""
+
+
+def test_another_session_reads_the_table(spark, tmp_path):
+    replace_table(spark.range(7), "shared_ns", "t")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = OTHER_SESSION.format(root=root, warehouse=spark.conf.get("spark.sql.warehouse.dir"))
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "rows 7" in done.stdout, done.stderr[-2000:]
+
+
+def test_objects_are_created_once(spark, tmp_path):
+    one = spark.createDataFrame([("a/x.md", b"one"), ("a/y.md", b""), ("b/z.md", None)], "object_path string, content binary")
+    two = spark.createDataFrame([("a/x.md", b"two"), ("c.md", b"new")], "object_path string, content binary")
+    assert rows(write_objects(one, str(tmp_path / "o"))) == [("a/x.md", True), ("a/y.md", True), ("b/z.md", True)]
+    assert rows(write_objects(two, str(tmp_path / "o"))) == [("a/x.md", False), ("c.md", True)]
+    assert (tmp_path / "o/a/x.md").read_bytes() == b"one" and (tmp_path / "o/b/z.md").read_bytes() == b""
 
 
 def test_failed_replace_keeps_the_old_rows(spark):

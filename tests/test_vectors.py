@@ -149,9 +149,26 @@ def test_recall_grows_with_probes(spark, index, sf):
     assert at[0] <= at[1] <= at[2] and at[2] >= 0.9
 
 
-def test_small_table_falls_back_to_the_scan(spark):
-    table = vectors(spark, *[[float(i + 1), 1.0] for i in range(30)])
-    index = ivf.try_build_index(table, "id", "v", 2, new_folder(spark, "ivf"))
-    assert index is None
+def test_small_table_and_odd_width(spark):
+    table = vectors(spark, *[[float(i + 1), 1.0, 2.0] for i in range(30)])
+    path = new_folder(spark, "ivf")
+    ivf.build_index(table, "id", "v", 3, path, num_sub_vectors=2)
+    index = ivf.open_index(spark, path)
+    q = spark.createDataFrame([(0, [1.0, 1.0, 2.0]), (1, [9.0, 1.0, 2.0])], "qid bigint, vector array<float>")
+    found = ivf.search(q, table, "id", "v", index, k=1, nprobe=4)
+    assert rows(found, "qid", "id") == [(0, 0), (1, 8)]
+    # One query at a time gives the same.
+    assert rows(ivf.search_index(index, q, 1, nprobe=4, max_query_cells=1), "qid", "id") == [(0, 0), (1, 8)]
+    assert rows(ivf.search(q, table, "id", "v", None, k=1), "qid", "id") == [(0, 0), (1, 8)]
+
+
+def test_a_rebuilt_index_is_published_whole(spark):
+    path = new_folder(spark, "ivf")
+    with pytest.raises(ValueError):
+        ivf.open_index(spark, path)
+    first = ivf.build_index(vectors(spark, [1.0, 0.0], [0.0, 1.0]), "id", "v", 2, path)
+    ivf.build_index(vectors(spark, [1.0, 0.0], [0.0, 1.0], [1.0, 1.0]), "id", "v", 2, path, with_codes=False)
+    assert ivf.open_index(spark, path).rows().count() == 3 and first.rows().count() == 2
+    empty = ivf.build_index(vectors(spark, [1.0, 0.0]).limit(0), "id", "v", 2, new_folder(spark, "ivf"))
     q = spark.createDataFrame([(0, [1.0, 1.0])], "qid bigint, vector array<float>")
-    assert rows(ivf.search(q, table, "id", "v", index, k=2), "id") == [(0,), (1,)]
+    assert ivf.search_index(empty, q, 3).count() == 0
