@@ -8,9 +8,9 @@ compared exhaustively by sketches, a larger one branches again. `TREES` independ
 make a miss at one tree unlikely to be a miss at all: a pair at the threshold meets at the first level
 of at least one with a probability above 1 - 1e-9.
 
-Within a node a spanning forest of the likely pairs goes to the exact check on full sets; then
-only pairs between classes that are still apart, first the best few of each class, then all
-of them. So a group of n near copies costs n checks and not n * n, and no link between groups is
+A pair that meets in several nodes is weighed in one of them. Within a node a spanning forest of the likely pairs
+goes to the exact check on full sets; then only pairs between classes that are still apart, first the best
+few of each class, then all of them. So a group of n near copies costs n checks and not n * n, and no link between groups is
 lost. Nodes that branch to the last level and are still large are one tight group: they are cut into
 blocks, and every block meets every other block, in bounded tasks, until their classes are linked.
 
@@ -44,6 +44,7 @@ DEPTH = 24
 SKETCH_SLACK = 0.10
 BEST = 8
 FILTER_BITS = 1 << 24
+ROOT_BITS = (1 << 31) - 1
 
 SIGNED = "doc_id long, n_shingles long, key binary, sketch binary, nodes array<long>"
 # Share of nodes that branch twice, in 1024ths: one child of a pair at the threshold survives on average.
@@ -224,8 +225,17 @@ def best_of_each(n: int, a: np.ndarray, b: np.ndarray, agree: np.ndarray, most:
     return np.unique(index[order][place < most])
 
 
+def weighed_here(node: np.ndarray, roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs belong to the node they are found in: its first common node of the first level, any if there is none."""
+    own = (node[a] & ROOT_BITS).astype(roots.dtype)
+    common = (roots[a] == roots[b]) & (roots[a] != 0)
+    first = roots[a, common.argmax(axis=1)]
+    is_root = (roots[a] == own[:, None]).any(axis=1)
+    return np.where(is_root, first == own, ~common.any(axis=1))
+
+
 def propose(members: DataFrame, least: int, how: str) -> DataFrame:
-    """Pairs to check from members (`node`, `rep`, `sketch`, `label`) of small nodes.
+    """Pairs to check from members (`node`, `rep`, `sketch`, `roots`, `label`) of small nodes.
 
     `forest`: a spanning forest of each node; `best`: the best few of each class across labels; `all`: all
     across labels. A row without `a` says that the node has more pairs.
@@ -236,6 +246,8 @@ def propose(members: DataFrame, least: int, how: str) -> DataFrame:
             node, rep = table.column("node").to_numpy(), table.column("rep").to_numpy()
             label = None if how == "forest" else table.column("label").to_numpy()
             a, b, agree = likely_pairs(node, sketch_matrix(table.column("sketch")), label, least)
+            here = weighed_here(node, np.array(table.column("roots").to_pylist(), np.int32).reshape(len(node), -1), a, b)
+            a, b, agree = a[here], b[here], agree[here]
             if how == "forest":
                 chosen = spanning_forest(len(node), a, b, agree)
             elif how == "best":
@@ -327,41 +339,55 @@ def block_pairs(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
 
 
 def small_nodes(classes: DataFrame, limit: int, depth: int) -> DataFrame:
-    """Members (`node`, `rep`) of all nodes that are compared."""
-    level = classes.select("rep", F.explode("nodes").alias("node"))
+    """Members (`node`, `rep`) of all nodes that are compared, with `place` among the first choices or null."""
+    level = classes.select("rep", F.posexplode("nodes").alias("place", "node"))
     done = []
     for at in range(depth + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes = materialise(sizes, "node_sizes")
-        done.append(level.join(sizes.where(F.col("n") <= limit).select("node"), "node").select("node", "rep"))
+        done.append(level.join(sizes.where(F.col("n") <= limit).select("node"), "node").select("node", "rep", "place"))
         large = sizes.where(F.col("n") > limit)
         if large.isEmpty():
             break
         members = level.join(large.select("node"), "node")
-        level = materialise(block_pairs(members, large, limit) if at == depth else branch(members, classes), "level")
+        level = block_pairs(members, large, limit) if at == depth else branch(members, classes)
+        level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
     else:
-        done.append(level)
+        done.append(level.select("node", "rep", "place"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def first_level(members: DataFrame, choices: int) -> DataFrame:
+    """`rep` and `roots`: the compared nodes of the first level that it is in, by place, cut to 31 bits; 0 where there is none."""
+    placed = members.where("place IS NOT NULL").groupBy("rep").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", F.col("node").bitwiseAND(ROOT_BITS).cast("int").alias("node")))).alias("at")
+    )
+    every = F.sequence(F.lit(0), F.lit(choices - 1))
+    return placed.select("rep", F.transform(every, lambda j: F.coalesce(F.col("at")[j], F.lit(0))).alias("roots"))
+
+
 def near_copies(documents: DataFrame, shingle: int = SHINGLE, trees: int = TREES, node_limit: int = NODE_LIMIT, depth: int = DEPTH) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of every document."""
     least = int(COORDINATES * (WHOLE / PART - SKETCH_SLACK))
     signed = materialise(sign(documents, shingle, trees), "signatures")
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes")).alias("m"))
     classes = materialise(classes.select("key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch"), F.col("m.nodes").alias("nodes")), "classes")
-    members = small_nodes(classes, node_limit, depth).join(classes.select("rep", "sketch"), "rep")
-    members = materialise(members.select("node", "rep", "sketch"), "members")
+    placed = materialise(small_nodes(classes, node_limit, depth), "placed")
+    choices = len(root_choices(trees, COORDINATES))
+    nowhere = F.array_repeat(F.lit(0), choices)
+    known = classes.select("rep", "sketch").join(first_level(placed, choices), "rep", "left")
+    members = placed.join(known, "rep").select("node", "rep", "sketch", F.coalesce("roots", nowhere).alias("roots"))
+    members = materialise(members, "members")
 
     links, labels, sets = None, None, None
     for how in ("forest", "best", "all"):
         labelled = members
         if labels is not None:
             labelled = members.join(left, "node").join(labels, F.col("rep") == F.col("id"), "left")
-            labelled = labelled.select("node", "rep", "sketch", F.coalesce("component", "rep").alias("label"))
+            labelled = labelled.select("node", "rep", "sketch", "roots", F.coalesce("component", "rep").alias("label"))
         proposed = materialise(propose(labelled, least, how), "proposed")
         pairs = proposed.where("a IS NOT NULL").select("a", "b").distinct()
         left = proposed.where("a IS NULL").select("node").distinct()

@@ -19,7 +19,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from docketry.llm.blocks import Block, blocks, class_table, per_process, ranges
+from docketry.functions.process import per_process
+from docketry.llm.blocks import Block, blocks, class_table, ranges
 
 # Units that a process keeps, about 150 MB, and the longest unit kept.
 CACHED = 700_000

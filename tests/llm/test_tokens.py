@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from docketry.functions.process import per_process
 from docketry.llm import packing, token_files, tokens
 from llm_data import ODD, odd_documents
 
@@ -44,7 +45,7 @@ TEXTS = st.text(st.one_of(st.sampled_from(" \n\t.,!'s<|>aAéÉßİ1×"), st.char
 def test_units_on_random_texts(texts):
     for name, lower in FILES.items():
         path = public_tokenizers.path(name)
-        known, plain = tokens.encoder(path, lower), tokens.per_process(("plain", path), lambda: Tokenizer.from_file(path))
+        known, plain = tokens.encoder(path, lower), per_process(("plain", path), lambda: Tokenizer.from_file(path))
         got = [[], *[(flat.tolist(), counts.tolist()) for _, flat, counts in known.column_ids(pa.array(texts, pa.string()))]]
         want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
         if texts:
