@@ -79,7 +79,7 @@ def test_all_vectors_as_queries_move_no_vector(spark, sf):
 
 
 def test_postings_are_not_shuffled(spark, sf):
-    assert "Exchange" not in queries.q_fts_postings(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in queries.q_fts_postings(spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_document_is_many_tasks(spark):
