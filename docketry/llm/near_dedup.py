@@ -10,8 +10,8 @@ of at least one with a probability above 1 - 1e-9.
 
 A pair that meets in several nodes is weighed in one of them. Within a node a spanning forest of the likely pairs
 goes to the exact check on full sets; then only pairs between classes that are still apart, first the best
-few of each class, then all of them. So a group of n near copies costs n checks and not n * n, and no link between groups is
-lost. Nodes that branch to the last level and are still large are one tight group: they are cut into
+few of each class, then all of them, which are checked inside the node and never written out. So a group of n near copies
+costs n rows and not n * n, and no link between groups is lost. Nodes that branch to the last level and are still large are one tight group: they are cut into
 blocks, and every block meets every other block, in bounded tasks, until their classes are linked.
 
 Edge cases: null, empty and wordless texts have no set, are linked with nothing and kept; a text of
@@ -40,8 +40,10 @@ COORDINATES = 128
 TREES = 12
 NODE_LIMIT = 2048
 DEPTH = 24
-# How many of the coordinates must agree for a pair to be checked: ten points below the threshold.
-SKETCH_SLACK = 0.10
+# How far below the threshold the share of agreeing coordinates may lie for a pair to be checked: four deviations.
+SKETCH_SLACK = 0.13
+# Bytes of sets that a node may bring to a task; the pairs of a heavier one are written out.
+NODE_BYTES = 64 << 20
 BEST = 8
 FILTER_BITS = 1 << 24
 ROOT_BITS = (1 << 31) - 1
@@ -234,37 +236,68 @@ def weighed_here(node: np.ndarray, roots: np.ndarray, a: np.ndarray, b: np.ndarr
     return np.where(is_root, first == own, ~common.any(axis=1))
 
 
+def node_pairs(table: pa.Table, least: int, labelled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likely pairs of whole nodes that belong to them: row numbers and agreeing coordinates."""
+    node = table.column("node").to_numpy()
+    label = table.column("label").to_numpy() if labelled else None
+    a, b, agree = likely_pairs(node, sketch_matrix(table.column("sketch")), label, least)
+    here = weighed_here(node, np.array(table.column("roots").to_pylist(), np.int32).reshape(len(node), -1), a, b)
+    return a[here], b[here], agree[here]
+
+
 def propose(members: DataFrame, least: int, how: str) -> DataFrame:
-    """Pairs to check from members (`node`, `rep`, `sketch`, `roots`, `label`) of small nodes.
+    """Pairs to check (`a`, `b`) from members (`node`, `rep`, `sketch`, `roots`, `label`) of small nodes.
 
     `forest`: a spanning forest of each node; `best`: the best few of each class across labels; `all`: all
-    across labels. A row without `a` says that the node has more pairs.
+    across labels. A row without `b` says that the class `a` has more pairs in the node.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
             node, rep = table.column("node").to_numpy(), table.column("rep").to_numpy()
-            label = None if how == "forest" else table.column("label").to_numpy()
-            a, b, agree = likely_pairs(node, sketch_matrix(table.column("sketch")), label, least)
-            here = weighed_here(node, np.array(table.column("roots").to_pylist(), np.int32).reshape(len(node), -1), a, b)
-            a, b, agree = a[here], b[here], agree[here]
+            a, b, agree = node_pairs(table, least, how != "forest")
             if how == "forest":
                 chosen = spanning_forest(len(node), a, b, agree)
             elif how == "best":
                 chosen = best_of_each(len(node), a, b, agree, BEST)
             else:
                 chosen = np.arange(len(a))
-            more = np.unique(node[np.delete(a, chosen)])
+            more = np.unique(np.concatenate([np.delete(a, chosen), np.delete(b, chosen)]))
             low, high = np.minimum(rep[a], rep[b])[chosen], np.maximum(rep[a], rep[b])[chosen]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([node[a[chosen]], more])),
-                pa.array([*low.tolist(), *[None] * len(more)], pa.int64()),
+                pa.array(np.concatenate([node[a[chosen]], node[more]])),
+                pa.array(np.concatenate([low, rep[more]])),
                 pa.array([*high.tolist(), *[None] * len(more)], pa.int64()),
             ], ["node", "a", "b"])
 
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "node long, a long, b long")
 
 
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if WHOLE * max(len(p), len(q)) > PART * min(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return PART * common >= WHOLE * (len(p) + len(q) - common)
+
+
+def confirm_inside(members: DataFrame, least: int) -> DataFrame:
+    """The links (`a`, `b`) across labels in nodes whose members bring their full sets in `hashes`."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "node", rows=512):
+            rep = table.column("rep").to_numpy()
+            a, b, _ = node_pairs(table, least, True)
+            sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
+            true = np.array([linked(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist())], bool)
+            a, b = a[true], b[true]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(check, "a long, b long")
+
+
 def sets_of(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """`id` and the full set of at least the wanted documents.
 
@@ -301,16 +334,9 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if WHOLE * max(len(p), len(q)) > PART * min(len(p), len(q)):
-                    continue
-                both_in = np.concatenate([p, q])
-                both_in.sort()
-                common = int((both_in[1:] == both_in[:-1]).sum())
-                linked[i] = PART * common >= WHOLE * (len(p) + len(q) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+            pairs_of = zip(batch.column("x"), batch.column("y"))
+            true = [linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in pairs_of]
+            yield batch.select(["a", "b"]).filter(pa.array(true, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -369,7 +395,14 @@ def first_level(members: DataFrame, choices: int) -> DataFrame:
     return placed.select("rep", F.transform(every, lambda j: F.coalesce(F.col("at")[j], F.lit(0))).alias("roots"))
 
 
-def near_copies(documents: DataFrame, shingle: int = SHINGLE, trees: int = TREES, node_limit: int = NODE_LIMIT, depth: int = DEPTH) -> DataFrame:
+def open_members(proposed: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with pairs that were not proposed yet, with the label of their component."""
+    more = proposed.where("b IS NULL").select("node", F.col("a").alias("rep")).distinct()
+    found = members.join(more, ["node", "rep"]).join(labels, F.col("rep") == F.col("id"), "left")
+    return materialise(found.select("node", "rep", "sketch", "roots", F.coalesce("component", "rep").alias("label")), "left")
+
+
+def near_copies(documents: DataFrame, shingle: int = SHINGLE, trees: int = TREES, node_limit: int = NODE_LIMIT, depth: int = DEPTH, node_bytes: int = NODE_BYTES) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of every document."""
     least = int(COORDINATES * (WHOLE / PART - SKETCH_SLACK))
     signed = materialise(sign(documents, shingle, trees), "signatures")
@@ -382,25 +415,29 @@ def near_copies(documents: DataFrame, shingle: int = SHINGLE, trees: int = TREES
     members = placed.join(known, "rep").select("node", "rep", "sketch", F.coalesce("roots", nowhere).alias("roots"))
     members = materialise(members, "members")
 
-    links, labels, sets = None, None, None
-    for how in ("forest", "best", "all"):
-        labelled = members
-        if labels is not None:
-            labelled = members.join(left, "node").join(labels, F.col("rep") == F.col("id"), "left")
-            labelled = labelled.select("node", "rep", "sketch", "roots", F.coalesce("component", "rep").alias("label"))
-        proposed = materialise(propose(labelled, least, how), "proposed")
-        pairs = proposed.where("a IS NOT NULL").select("a", "b").distinct()
-        left = proposed.where("a IS NULL").select("node").distinct()
-        if sets is None:
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-            sets = materialise(sets_of(documents, ids, shingle), "sets") if not pairs.isEmpty() else None
-            if sets is None:
-                break
-        found = materialise(confirm(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
+    # First a forest of every node, then the best pairs of what is still apart, at last all the rest.
+    proposed = materialise(propose(members, least, "forest"), "proposed")
+    pairs = proposed.where("b IS NOT NULL").select("a", "b").distinct()
+    labels = None
+    if not pairs.isEmpty():
+        sets = materialise(sets_of(documents, proposed.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL"), shingle), "sets")
+        links = materialise(confirm(pairs, sets), "links")
         labels = materialise(components(links), "components")
-        if left.isEmpty():
-            break
+        left = open_members(proposed, members, labels)
+        if not left.isEmpty():
+            proposed = materialise(propose(left, least, "best"), "proposed")
+            pairs = proposed.where("b IS NOT NULL").select("a", "b").distinct()
+            links = materialise(links.unionByName(confirm(pairs, sets)), "links")
+            labels = materialise(components(links), "components")
+            left = open_members(proposed, members, labels)
+        if not left.isEmpty():
+            rest = left.join(sets.withColumnRenamed("id", "rep"), "rep")
+            heavy = rest.groupBy("node").agg(F.sum(F.octet_length("hashes")).alias("bytes")).where(F.col("bytes") > node_bytes).select("node")
+            heavy = materialise(heavy, "heavy")
+            inside = confirm_inside(rest.join(heavy, "node", "left_anti"), least)
+            written = propose(left.join(heavy, "node", "left_semi"), least, "all").where("b IS NOT NULL").select("a", "b").distinct()
+            links = materialise(links.unionByName(inside).unionByName(confirm(written, sets)), "links")
+            labels = materialise(components(links), "components")
     of_class = classes.select("key", "rep")
     if labels is not None:
         of_class = of_class.join(labels, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component"))

@@ -73,6 +73,19 @@ def test_large_nodes_branch_and_tight_ones_are_cut_into_blocks(spark):
     rows = family(2, 24)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(n.near_copies(docs, node_limit=4, depth=2)) == brute(rows)
+    assert got(n.near_copies(docs, node_bytes=100)) == brute(rows)
+
+
+def scattered(members=70):
+    """Texts at all distances from one, most of them below the threshold."""
+    base = [f"w{i}" for i in range(150)]
+    return [(m, edits(base, m, m % 12)) for m in range(members)]
+
+
+def test_pairs_around_the_threshold_are_all_checked(spark):
+    rows = scattered()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(n.near_copies(docs)) == got(n.near_copies(docs, node_bytes=0)) == brute(rows)
 
 
 def test_odd_rows(spark):
