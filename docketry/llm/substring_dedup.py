@@ -36,7 +36,7 @@ MINIMISER = 3
 # A run of windows that share a minimiser is cut at this many.
 LONGEST_RUN = 64
 SEND_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 CHUNK_BYTES = 4 << 20
 
 SENT = "bucket long, texts binary, n_docs binary, docs binary"
