@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.llm import oracle
 from docketry.llm.decontaminate import q_decontaminate
 from docketry.llm.language import q_language
 from docketry.llm.near_dedup import q_near_dedup
@@ -30,4 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": q_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op9_near_dedup": oracle.NEAR_DEDUP,
+    "op10_decontamination": oracle.DECONTAMINATION,
+}
