@@ -23,6 +23,7 @@ empty table gives no rows; other columns are not read, and `remove_near_copies`
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,16 @@ from docketry.llm.components import components
 from docketry.session import materialise
 
 SHINGLE = 3
-# A link needs PART * intersection >= WHOLE * union.
+# A link needs PART * intersection >= WHOLE * union, unless the caller names another share.
 PART, WHOLE = 100, 85
 COORDINATES = 128
 TREES = 12
+# The chance at which a pair at the threshold may meet nowhere; a lower threshold takes more trees.
+MISS = 1e-9
 NODE_LIMIT = 2048
 DEPTH = 24
-# How far below the threshold the share of agreeing coordinates may lie for a pair to be checked: four deviations.
-SKETCH_SLACK = 0.13
+# How far below the threshold the share of agreeing coordinates may lie for a pair to be checked, in deviations.
+DEVIATIONS = 4
 # Bytes of sets that a node may bring to a task; the pairs of a heavier one are written out.
 NODE_BYTES = 64 << 20
 BEST = 8
@@ -49,8 +52,18 @@ FILTER_BITS = 1 << 24
 ROOT_BITS = (1 << 31) - 1
 
 SIGNED = "doc_id long, n_shingles long, key binary, sketch binary, nodes array<long>"
-# Share of nodes that branch twice, in 1024ths: one child of a pair at the threshold survives on average.
-TWICE = int(1024 * (PART / WHOLE - 1))
+
+
+def branching(part: int, whole: int) -> int:
+    """Share of nodes that branch twice, in 1024ths: one child of a pair at the threshold survives on average."""
+    return min(1024, int(1024 * (part / whole - 1)))
+
+
+def least_agreement(part: int, whole: int) -> int:
+    """Coordinates that must agree for a pair to be checked: some deviations below the threshold, rounded up to a hundredth."""
+    share = whole / part
+    slack = math.ceil(100 * DEVIATIONS * math.sqrt(share * (1 - share) / COORDINATES)) / 100
+    return int(COORDINATES * (share - slack))
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,35 +101,42 @@ def minwise(sets: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.ndarray
     return mix(out)
 
 
-def root_choices(trees: int, coordinates: int) -> list[tuple[int, int]]:
+def root_choices(trees: int, coordinates: int, twice: int) -> list[tuple[int, int]]:
     """`(tree, coordinate)` of the first level; different trees take different coordinates while there are any."""
     chosen, at = [], 0
     for tree in range(trees):
-        for _ in range(2 if int(mix(np.array([tree + 77], np.uint64))[0] & np.uint64(1023)) < TWICE else 1):
+        for _ in range(2 if int(mix(np.array([tree + 77], np.uint64))[0] & np.uint64(1023)) < twice else 1):
             chosen.append((tree, at % coordinates))
             at += 1
     return chosen
 
 
-def child_nodes(parents: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def enough_trees(part: int, whole: int) -> int:
+    """Trees of whose first nodes a pair at the threshold shares at least one, but for a chance of `MISS`."""
+    trees = TREES
+    while (1 - whole / part) ** len(root_choices(trees, COORDINATES, branching(part, whole))) > MISS:
+        trees += 1
+    return trees
+
+
+def child_nodes(parents: np.ndarray, sketches: np.ndarray, twice: int) -> tuple[np.ndarray, np.ndarray]:
     """Children of members of large nodes: node ids and the member's index."""
     coordinates = sketches.shape[1]
     turn = mix(parents ^ np.uint64(0x5DEECE66D))
-    twice = (turn & np.uint64(1023)) < TWICE
+    both = (turn & np.uint64(1023)) < twice
     first = (turn >> np.uint64(10)) % np.uint64(coordinates)
     second = (first + np.uint64(1) + (turn >> np.uint64(30)) % np.uint64(coordinates - 1)) % np.uint64(coordinates)
     nodes, members = [], []
-    for choice, rows in ((first, np.arange(len(parents))), (second, np.flatnonzero(twice))):
+    for choice, rows in ((first, np.arange(len(parents))), (second, np.flatnonzero(both))):
         value = sketches[rows, choice[rows].astype(np.int64)].astype(np.uint64)
         nodes.append(mix(parents[rows] ^ mix((choice[rows] << np.uint64(20)) | value)))
         members.append(rows)
     return np.concatenate(nodes), np.concatenate(members)
 
 
-def sign(documents: DataFrame, shingle: int, trees: int) -> DataFrame:
+def sign(documents: DataFrame, shingle: int, roots: list[tuple[int, int]]) -> DataFrame:
     """Set size, set key, sketch and first nodes of every document."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    roots = root_choices(trees, COORDINATES)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,17 +293,17 @@ def propose(members: DataFrame, least: int, how: str) -> DataFrame:
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "node long, a long, b long")
 
 
-def linked(p: np.ndarray, q: np.ndarray) -> bool:
+def linked(p: np.ndarray, q: np.ndarray, part: int = PART, whole: int = WHOLE) -> bool:
     """Whether two sorted sets reach the threshold."""
-    if WHOLE * max(len(p), len(q)) > PART * min(len(p), len(q)):
+    if whole * max(len(p), len(q)) > part * min(len(p), len(q)):
         return False
     both = np.concatenate([p, q])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
-    return PART * common >= WHOLE * (len(p) + len(q) - common)
+    return part * common >= whole * (len(p) + len(q) - common)
 
 
-def confirm_inside(members: DataFrame, least: int) -> DataFrame:
+def confirm_inside(members: DataFrame, least: int, part: int, whole: int) -> DataFrame:
     """The links (`a`, `b`) across labels in nodes whose members bring their full sets in `hashes`."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +311,7 @@ def confirm_inside(members: DataFrame, least: int) -> DataFrame:
             rep = table.column("rep").to_numpy()
             a, b, _ = node_pairs(table, least, True)
             sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
-            true = np.array([linked(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist())], bool)
+            true = np.array([linked(sets[i], sets[j], part, whole) for i, j in zip(a.tolist(), b.tolist())], bool)
             a, b = a[true], b[true]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
@@ -327,7 +347,7 @@ def sets_of(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return texts.where("id IS NOT NULL").mapInArrow(make, "id long, hashes binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
     """The pairs that reach the threshold on full sets."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
@@ -335,20 +355,20 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs_of = zip(batch.column("x"), batch.column("y"))
-            true = [linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in pairs_of]
+            true = [linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), part, whole) for pair in pairs_of]
             yield batch.select(["a", "b"]).filter(pa.array(true, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def branch(members: DataFrame, classes: DataFrame) -> DataFrame:
+def branch(members: DataFrame, classes: DataFrame, twice: int) -> DataFrame:
     """The next level: children (`node`, `rep`) of the members of large nodes."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 sketches = sketch_matrix(batch.column("sketch"))
-                nodes, member = child_nodes(batch.column("node").to_numpy().view(np.uint64), sketches)
+                nodes, member = child_nodes(batch.column("node").to_numpy().view(np.uint64), sketches, twice)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("rep").take(pa.array(member))], ["node", "rep"])
 
     return members.join(classes.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(grow, "node long, rep long")
@@ -364,7 +384,7 @@ def block_pairs(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     return met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
-def small_nodes(classes: DataFrame, limit: int, depth: int) -> DataFrame:
+def small_nodes(classes: DataFrame, limit: int, depth: int, twice: int) -> DataFrame:
     """Members (`node`, `rep`) of all nodes that are compared, with `place` among the first choices or null."""
     level = classes.select("rep", F.posexplode("nodes").alias("place", "node"))
     done = []
@@ -376,7 +396,7 @@ def small_nodes(classes: DataFrame, limit: int, depth: int) -> DataFrame:
         if large.isEmpty():
             break
         members = level.join(large.select("node"), "node")
-        level = block_pairs(members, large, limit) if at == depth else branch(members, classes)
+        level = block_pairs(members, large, limit) if at == depth else branch(members, classes, twice)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
     else:
         done.append(level.select("node", "rep", "place"))
@@ -402,14 +422,18 @@ def open_members(proposed: DataFrame, members: DataFrame, labels: DataFrame) ->
     return materialise(found.select("node", "rep", "sketch", "roots", F.coalesce("component", "rep").alias("label")), "left")
 
 
-def near_copies(documents: DataFrame, shingle: int = SHINGLE, trees: int = TREES, node_limit: int = NODE_LIMIT, depth: int = DEPTH, node_bytes: int = NODE_BYTES) -> DataFrame:
+def near_copies(
+    documents: DataFrame, shingle: int = SHINGLE, trees: int | None = None, node_limit: int = NODE_LIMIT, depth: int = DEPTH, node_bytes: int = NODE_BYTES,
+    part: int = PART, whole: int = WHOLE,
+) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of every document."""
-    least = int(COORDINATES * (WHOLE / PART - SKETCH_SLACK))
-    signed = materialise(sign(documents, shingle, trees), "signatures")
+    least, twice = least_agreement(part, whole), branching(part, whole)
+    roots = root_choices(trees or enough_trees(part, whole), COORDINATES, twice)
+    signed = materialise(sign(documents, shingle, roots), "signatures")
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes")).alias("m"))
     classes = materialise(classes.select("key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch"), F.col("m.nodes").alias("nodes")), "classes")
-    placed = materialise(small_nodes(classes, node_limit, depth), "placed")
-    choices = len(root_choices(trees, COORDINATES))
+    placed = materialise(small_nodes(classes, node_limit, depth, twice), "placed")
+    choices = len(roots)
     nowhere = F.array_repeat(F.lit(0), choices)
     known = classes.select("rep", "sketch").join(first_level(placed, choices), "rep", "left")
     members = placed.join(known, "rep").select("node", "rep", "sketch", F.coalesce("roots", nowhere).alias("roots"))
@@ -421,22 +445,22 @@ def near_copies(documents: DataFrame, shingle: int = SHINGLE, trees: int = TREES
     labels = None
     if not pairs.isEmpty():
         sets = materialise(sets_of(documents, proposed.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL"), shingle), "sets")
-        links = materialise(confirm(pairs, sets), "links")
+        links = materialise(confirm(pairs, sets, part, whole), "links")
         labels = materialise(components(links), "components")
         left = open_members(proposed, members, labels)
         if not left.isEmpty():
             proposed = materialise(propose(left, least, "best"), "proposed")
             pairs = proposed.where("b IS NOT NULL").select("a", "b").distinct()
-            links = materialise(links.unionByName(confirm(pairs, sets)), "links")
+            links = materialise(links.unionByName(confirm(pairs, sets, part, whole)), "links")
             labels = materialise(components(links), "components")
             left = open_members(proposed, members, labels)
         if not left.isEmpty():
             rest = left.join(sets.withColumnRenamed("id", "rep"), "rep")
             heavy = rest.groupBy("node").agg(F.sum(F.octet_length("hashes")).alias("bytes")).where(F.col("bytes") > node_bytes).select("node")
             heavy = materialise(heavy, "heavy")
-            inside = confirm_inside(rest.join(heavy, "node", "left_anti"), least)
+            inside = confirm_inside(rest.join(heavy, "node", "left_anti"), least, part, whole)
             written = propose(left.join(heavy, "node", "left_semi"), least, "all").where("b IS NOT NULL").select("a", "b").distinct()
-            links = materialise(links.unionByName(inside).unionByName(confirm(written, sets)), "links")
+            links = materialise(links.unionByName(inside).unionByName(confirm(written, sets, part, whole)), "links")
             labels = materialise(components(links), "components")
     of_class = classes.select("key", "rep")
     if labels is not None:
