@@ -6,7 +6,8 @@ chosen coordinate, now and then by two, so that two sets at the threshold are ex
 in one child; the node's id decides which coordinates. A node of at most `NODE_LIMIT` classes is
 compared exhaustively by sketches, a larger one branches again. `TREES` independent trees
 make a miss at one tree unlikely to be a miss at all: a pair at the threshold meets at the first level
-of at least one with a probability above 1 - 1e-9.
+of at least one with a probability above 1 - 1e-9. A pair is lost with more of the trees the deeper they branch, so
+classes whose nodes were too large take further trees, as many as keep that probability at the depth they reached.
 
 A pair that meets in several nodes is weighed in one of them. Within a node a spanning forest of the likely pairs
 goes to the exact check on full sets; then only pairs between classes that are still apart, first the best
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ TREES = 12
 MISS = 1e-9
 NODE_LIMIT = 2048
 DEPTH = 24
+# Levels that further trees may reach beyond the first ones before their number is raised again.
+SPARE = 2
 # How far below the threshold the share of agreeing coordinates may lie for a pair to be checked, in deviations.
 DEVIATIONS = 4
 # Bytes of sets that a node may bring to a task; the pairs of a heavier one are written out.
@@ -384,10 +388,25 @@ def block_pairs(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     return met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
-def small_nodes(classes: DataFrame, limit: int, depth: int, twice: int) -> DataFrame:
-    """Members (`node`, `rep`) of all nodes that are compared, with `place` among the first choices or null."""
-    level = classes.select("rep", F.posexplode("nodes").alias("place", "node"))
-    done = []
+def shared_levels(part: int, whole: int, depth: int) -> list[float]:
+    """For each level the chance that a pair at the threshold still shares a node of one tree there."""
+    share, twice = whole / part, branching(part, whole) / 1024
+    apart, out = 0.0, []
+    for _ in range(depth + 1):
+        once = 1 - share + share * apart
+        apart = (1 - twice) * once + twice * once * once
+        out.append(1 - apart)
+    return out
+
+
+def trees_by_depth(part: int, whole: int, depth: int, trees: int) -> list[int]:
+    """For each level the trees that leave a pair apart in all of them with a chance of at most `MISS`; no fewer than `trees`."""
+    return [max(trees, math.ceil(math.log(MISS) / math.log1p(-shared))) if shared < 1 else trees for shared in shared_levels(part, whole, depth)]
+
+
+def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, twice: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members (`node`, `rep`, `place`) of all nodes that are compared, and the level (`rep`, `level`) that members of large nodes branch to."""
+    done, deep = [], []
     for at in range(depth + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes = materialise(sizes, "node_sizes")
@@ -396,13 +415,43 @@ def small_nodes(classes: DataFrame, limit: int, depth: int, twice: int) -> DataF
         if large.isEmpty():
             break
         members = level.join(large.select("node"), "node")
+        deep.append(members.select("rep").distinct().withColumn("level", F.lit(min(at + 1, depth))))
         level = block_pairs(members, large, limit) if at == depth else branch(members, classes, twice)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
     else:
         done.append(level.select("node", "rep", "place"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, deep) if deep else None
+
+
+def small_nodes(classes: DataFrame, limit: int, depth: int, part: int, whole: int, trees: int) -> DataFrame:
+    """Members (`node`, `rep`) of all nodes that are compared, with `place` among the first choices or null.
+
+    Two classes share as many trees as the lesser of their depths asks for. A round of further trees is for all classes
+    that want more than the least that a class had before it was raised, so any two of them meet in the whole round.
+    """
+    twice, enough = branching(part, whole), trees_by_depth(part, whole, depth, trees)
+    out, deep = grow_levels(classes.select("rep", F.posexplode("nodes").alias("place", "node")), classes, limit, depth, twice)
+    had, turn = None, 0
+    while deep is not None:
+        deepest = deep.groupBy("rep").agg(F.least(F.max("level") + SPARE, F.lit(depth)).alias("spared"), F.max("level").alias("level"))
+        asked = F.array(*[F.lit(n) for n in enough])
+        wanted = deepest.select("rep", "level", asked[F.col("level")].alias("need"), asked[F.col("spared")].alias("take"))
+        wanted = wanted.withColumn("had", F.lit(trees)) if had is None else wanted.join(had, "rep", "left").fillna(trees, ["had"])
+        wanted = materialise(wanted, "wanted")
+        least = wanted.where("need > had").agg(F.min("had")).first()[0]
+        if least is None:
+            break
+        turn += 1
+        joins = (F.col("take") > least) & (F.greatest("need", "had") > least)
+        more = wanted.where(joins).select("rep", F.explode(F.sequence(F.lit(1), F.greatest("take", "had") - trees)).alias("tree"))
+        roots = more.select(F.xxhash64(F.lit("tree"), F.lit(turn), "tree").alias("node"), "rep")
+        level = materialise(branch(roots, classes, twice).withColumn("place", F.lit(None).cast("int")), "level")
+        found, deeper = grow_levels(level, classes, limit, depth, twice)
+        out = out.unionByName(found)
+        had = wanted.select("rep", F.when(joins, F.greatest("take", "had")).otherwise(F.col("had")).alias("had"))
+        if deeper is None:
+            break
+        deep = wanted.select("rep", "level").unionByName(deeper)
     return out
 
 
@@ -427,12 +476,12 @@ def near_copies(
     part: int = PART, whole: int = WHOLE,
 ) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of every document."""
-    least, twice = least_agreement(part, whole), branching(part, whole)
-    roots = root_choices(trees or enough_trees(part, whole), COORDINATES, twice)
+    least, trees = least_agreement(part, whole), trees or enough_trees(part, whole)
+    roots = root_choices(trees, COORDINATES, branching(part, whole))
     signed = materialise(sign(documents, shingle, roots), "signatures")
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes")).alias("m"))
     classes = materialise(classes.select("key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch"), F.col("m.nodes").alias("nodes")), "classes")
-    placed = materialise(small_nodes(classes, node_limit, depth, twice), "placed")
+    placed = materialise(small_nodes(classes, node_limit, depth, part, whole, trees), "placed")
     choices = len(roots)
     nowhere = F.array_repeat(F.lit(0), choices)
     known = classes.select("rep", "sketch").join(first_level(placed, choices), "rep", "left")
