@@ -17,7 +17,8 @@ blocks, and every block meets every other block, in bounded tasks, until their c
 
 Edge cases: null, empty and wordless texts have no set, are linked with nothing and kept; a text of
 fewer words than a shingle is one shingle; rows with a null id are kept, with a null component; rows that
-repeat an id are rows of one class if their texts agree, else each is judged by its own set; an
+repeat an id are rows of one class if their texts agree, else each is judged by its own set, since a class is named by a
+hash of its smallest id and its set (`class_name`) and a component gets its smallest id at the end; an
 empty table gives no rows; other columns are not read, and `remove_near_copies` keeps them.
 """
 
@@ -30,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketry.llm.blocks import NOT_SPACE, Words, blocks, mix, windows, words
 from docketry.llm.components import components
@@ -55,7 +56,7 @@ BEST = 8
 FILTER_BITS = 1 << 24
 ROOT_BITS = (1 << 31) - 1
 
-SIGNED = "doc_id long, n_shingles long, key binary, sketch binary, nodes array<long>"
+SIGNED = "doc_id long, said long, n_shingles long, key binary, sketch binary, nodes array<long>"
 
 
 def branching(part: int, whole: int) -> int:
@@ -138,9 +139,21 @@ def child_nodes(parents: np.ndarray, sketches: np.ndarray, twice: int) -> tuple[
     return np.concatenate(nodes), np.concatenate(members)
 
 
+def class_name(doc_id: Column, key: Column) -> Column:
+    """The number that names a class, from its smallest id and the key of its set."""
+    return F.xxhash64(doc_id, key)
+
+
+def set_keys(sets: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """128 bits for each set that is not empty."""
+    ends = np.cumsum(sizes)
+    return [hashlib.blake2b(sets[b - n:b], digest_size=16).digest() if n else None for b, n in zip(ends.tolist(), sizes.tolist())]
+
+
 def sign(documents: DataFrame, shingle: int, roots: list[tuple[int, int]]) -> DataFrame:
-    """Set size, set key, sketch and first nodes of every document."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Hash of the text, set size, set key, sketch and first nodes of every document."""
+    text = F.col("text").cast("string")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("said"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +163,13 @@ def sign(documents: DataFrame, shingle: int, roots: list[tuple[int, int]]) -> Da
                 values = minwise(sets, sizes, COORDINATES)
                 sketch = (values & np.uint64(0xFFFF)).astype("<u2")
                 nodes = np.stack([mix(values[:, c] ^ mix(np.array([t * 1000 + c], np.uint64))[0]) for t, c in roots], axis=1).view(np.int64)
-                ends = np.cumsum(sizes)
                 filled, at = sizes > 0, np.cumsum(sizes > 0) - 1
-                keys = [hashlib.blake2b(sets[b - n:b], digest_size=16).digest() if n else None for b, n in zip(ends.tolist(), sizes.tolist())]
                 node_ends = np.concatenate([[0], np.cumsum(filled * len(roots))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(block.first_row, len(block)),
+                    batch.column(2).slice(block.first_row, len(block)),
                     pa.array(sizes.astype(np.int64)),
-                    pa.array(keys, pa.binary()),
+                    pa.array(set_keys(sets, sizes), pa.binary()),
                     pa.array([sketch[i].tobytes() if f else None for i, f in zip(at, filled)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(node_ends), pa.array(nodes.ravel())),
                 ], [f.split()[0] for f in SIGNED.split(", ")])
@@ -323,7 +335,7 @@ def confirm_inside(members: DataFrame, least: int, part: int, whole: int) -> Dat
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """`id` and the full set of at least the wanted documents.
+    """`id` (the name of the class that a document's id and set would give) and the full set of at least the wanted documents.
 
     The texts are scanned where they lie: a bitmap of fixed size over hashed ids tells which sets to make. When
     it fills up it lets more rows through, never fewer than needed.
@@ -344,11 +356,13 @@ def sets_of(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             some = batch.filter(pa.array(wanted))
             for block in blocks(some.column("text")):
                 sets, sizes = shingle_sets(words(block, NOT_SPACE, lower=True), shingle)
-                ends = np.cumsum(sizes).tolist()
+                keys, ends = set_keys(sets, sizes), np.cumsum(sizes).tolist()
                 held = [sets[e - n:e].tobytes() for e, n in zip(ends, sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([some.column("id").slice(block.first_row, len(block)), pa.array(held, pa.binary())], ["id", "hashes"])
+                own = some.column("id").slice(block.first_row, len(block))
+                yield pa.RecordBatch.from_arrays([own, pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["id", "key", "hashes"])
 
-    return texts.where("id IS NOT NULL").mapInArrow(make, "id long, hashes binary")
+    made = texts.where("id IS NOT NULL").mapInArrow(make, "id long, key binary, hashes binary")
+    return made.where("key IS NOT NULL").select(class_name(F.col("id"), F.col("key")).alias("id"), "hashes")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
@@ -471,16 +485,17 @@ def open_members(proposed: DataFrame, members: DataFrame, labels: DataFrame) ->
     return materialise(found.select("node", "rep", "sketch", "roots", F.coalesce("component", "rep").alias("label")), "left")
 
 
-def near_copies(
+def judged(
     documents: DataFrame, shingle: int = SHINGLE, trees: int | None = None, node_limit: int = NODE_LIMIT, depth: int = DEPTH, node_bytes: int = NODE_BYTES,
     part: int = PART, whole: int = WHOLE,
 ) -> DataFrame:
-    """`doc_id`, `n_shingles`, `component_id` and `kept` of every document."""
+    """`doc_id`, `said` (a hash of the text), `n_shingles`, `component_id` and `kept` of every document."""
     least, trees = least_agreement(part, whole), trees or enough_trees(part, whole)
     roots = root_choices(trees, COORDINATES, branching(part, whole))
     signed = materialise(sign(documents, shingle, roots), "signatures")
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes")).alias("m"))
-    classes = materialise(classes.select("key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch"), F.col("m.nodes").alias("nodes")), "classes")
+    classes = classes.select("key", class_name(F.col("m.doc_id"), F.col("key")).alias("rep"), "m.doc_id", "m.sketch", "m.nodes")
+    classes = materialise(classes, "classes")
     placed = materialise(small_nodes(classes, node_limit, depth, part, whole, trees), "placed")
     choices = len(roots)
     nowhere = F.array_repeat(F.lit(0), choices)
@@ -493,7 +508,9 @@ def near_copies(
     pairs = proposed.where("b IS NOT NULL").select("a", "b").distinct()
     labels = None
     if not pairs.isEmpty():
-        sets = materialise(sets_of(documents, proposed.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL"), shingle), "sets")
+        wanted = proposed.select(F.explode(F.array("a", "b")).alias("rep")).where("rep IS NOT NULL").distinct()
+        sets = sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(wanted, "rep", "left_semi"), shingle)
+        sets = materialise(sets, "sets")
         links = materialise(confirm(pairs, sets, part, whole), "links")
         labels = materialise(components(links), "components")
         left = open_members(proposed, members, labels)
@@ -511,20 +528,30 @@ def near_copies(
             written = propose(left.join(heavy, "node", "left_semi"), least, "all").where("b IS NOT NULL").select("a", "b").distinct()
             links = materialise(links.unionByName(inside).unionByName(confirm(written, sets, part, whole)), "links")
             labels = materialise(components(links), "components")
-    of_class = classes.select("key", "rep")
+    of_class = classes.select("key", "rep", F.col("doc_id").alias("first"))
     if labels is not None:
-        of_class = of_class.join(labels, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component"))
+        inside = of_class.join(labels, F.col("rep") == F.col("id"))
+        leasts = inside.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = labels.join(leasts, "component").select("id", "component_id")
+        of_class = of_class.join(named, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component_id", "first").alias("component"))
     else:
-        of_class = of_class.withColumnRenamed("rep", "component")
-    rows = signed.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
+        of_class = of_class.select("key", F.col("first").alias("component"))
+    rows = signed.select("doc_id", "said", "n_shingles", "key").join(of_class, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "said", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_copies(documents: DataFrame, **settings: int) -> DataFrame:
+    """`doc_id`, `n_shingles`, `component_id` and `kept` of every document; `settings` as for `judged`."""
+    return judged(documents, **settings).drop("said")
 
 
 def remove_near_copies(documents: DataFrame, **settings: int) -> DataFrame:
     """One document of each group, the one of the smallest id; all columns kept."""
-    gone = near_copies(documents, **settings).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return documents.join(gone, documents["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = judged(documents, **settings).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("said").alias("__said"))
+    # A text that shares its id with a copy of something else stays.
+    same = (documents["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(documents["text"].cast("string")) == F.col("__said"))
+    return documents.join(gone, same, "left_anti")
 
 
 def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
