@@ -12,7 +12,8 @@ the chunks of documents that hold the string after that least document, once per
 again, look their strings up, and remove the covered words.
 
 Memory: a bucket holds about `BUCKET_BYTES` of packed words and a chunk about `CHUNK_BYTES` of text; their
-numbers follow the measured size of the input.
+numbers follow the measured size of the input. The bytes of every minimiser are counted beforehand; the runs of one that would fill a bucket
+are sent window by window, each to the bucket of its own words, so equal windows still meet and the minimiser is spread.
 
 Edge cases: words are runs of bytes other than space and 9 to 13; null and empty texts have no words; texts shorter
 than a window lose nothing; repeats within one document, and between rows that share an id, are not removed; rows with a null
@@ -60,8 +61,8 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=0)
 
 
-def runs(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers of a block: first word, number of windows, minimiser."""
+def runs(w: Words, window: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers of a block: first word, number of windows, minimiser; those of `hot` minimisers as single windows with a key of their own."""
     n = len(w.hash) - window + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -82,10 +83,15 @@ def runs(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edges = np.flatnonzero(new | ~whole)
     follow = np.append(edges, n)[np.searchsorted(edges, begins, "right")]
     counts = follow - begins
-    pieces = -(-counts // LONGEST_RUN)
-    first = np.repeat(begins, pieces) + (ranges(np.zeros(len(pieces), np.int64), pieces)) * LONGEST_RUN
-    ends = np.repeat(follow, pieces)
-    return first, np.minimum(LONGEST_RUN, ends - first), least[first]
+    split = np.isin(least[begins], hot) if hot is not None and len(hot) else np.zeros(len(begins), bool)
+    longest = np.where(split, 1, LONGEST_RUN)
+    pieces = -(-counts // longest)
+    first = np.repeat(begins, pieces) + ranges(np.zeros(len(pieces), np.int64), pieces) * np.repeat(longest, pieces)
+    ends, key = np.repeat(follow, pieces), least[first]
+    if split.any():
+        alone = np.flatnonzero(np.repeat(split, pieces))
+        key[alone] = mix(key[alone] ^ windows(w.hash, window)[first[alone]])
+    return first, np.minimum(np.repeat(longest, pieces), ends - first), key
 
 
 def run_keys(w: Words, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -108,14 +114,52 @@ def packed(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(begins, len(out))
 
 
-def send(documents: DataFrame, window: int, buckets: int) -> DataFrame:
+def hot_minimisers(documents: DataFrame, window: int, bound: int) -> np.ndarray:
+    """The minimisers whose runs come to more than about `bound` bytes as they are sent, each distinct run of a block once.
+
+    A task reports what may matter: all that it leaves out comes to at most half of `bound` for one minimiser over all tasks.
+    """
+    floor = bound // (2 * max(1, documents.rdd.getNumPartitions()))
+
+    def summed(keys: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return distinct, np.bincount(at, np.concatenate(sizes), len(distinct)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for batch in batches:
+            for block in blocks(batch.column("text"), SEND_BYTES):
+                w = words(block)
+                first, counts, least = runs(w, window)
+                if not len(first):
+                    continue
+                _, own = np.unique(run_keys(w, first, counts + window - 1)["a"], return_index=True)
+                begins = np.concatenate([[0], np.cumsum(w.ends - w.starts + 1)])
+                sent = begins[first[own] + counts[own] + window - 1] - begins[first[own]]
+                few, total = summed([least[own]], [sent])
+                keys.append(few)
+                sizes.append(total)
+                if sum(map(len, keys[1:])) > max(1 << 20, len(keys[0])):
+                    few, total = summed(keys, sizes)
+                    keys, sizes = [few], [total]
+        few, total = summed(keys, sizes)
+        some = total > floor
+        yield pa.RecordBatch.from_arrays([pa.array(few[some].view(np.int64)), pa.array(total[some])], ["minimiser", "bytes"])
+
+    counted = documents.where("doc_id IS NOT NULL").select("text").mapInArrow(count, "minimiser long, bytes long")
+    found = counted.groupBy("minimiser").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > bound).collect()
+    return np.sort(np.array([r.minimiser for r in found], np.int64).view(np.uint64))
+
+
+def send(documents: DataFrame, window: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """The distinct runs of every block, by bucket."""
+    shared = documents.sparkSession.sparkContext.broadcast(hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), SEND_BYTES):
                 w = words(block)
-                first, counts, least = runs(w, window)
+                first, counts, least = runs(w, window, shared.value)
                 if not len(first):
                     continue
                 docs = batch.column("doc_id").to_numpy()[block.first_row:block.first_row + len(block)]
@@ -214,9 +258,9 @@ def answer(sent: DataFrame, window: int, chunks: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, ANSWERS)
 
 
-def covered(w: Words, docs: np.ndarray, known: np.ndarray, answers: pa.Table, window: int) -> np.ndarray:
+def covered(w: Words, docs: np.ndarray, known: np.ndarray, answers: pa.Table, window: int, hot: np.ndarray) -> np.ndarray:
     """Which words of a block lie in a window of an earlier document."""
-    first, counts, _ = runs(w, window)
+    first, counts, _ = runs(w, window, hot)
     marks = np.zeros(len(w.hash), bool)
     if not len(first) or not len(answers):
         return marks
@@ -245,8 +289,9 @@ def covered(w: Words, docs: np.ndarray, known: np.ndarray, answers: pa.Table, wi
     return spread_marks(len(w.hash), word[earlier], window)
 
 
-def apply(documents: DataFrame, answers: DataFrame, window: int, with_text: bool) -> DataFrame:
+def apply(documents: DataFrame, answers: DataFrame, window: int, with_text: bool, hot: np.ndarray) -> DataFrame:
     """Counts, digest and, if asked for, the text of what is left of every document."""
+    shared = documents.sparkSession.sparkContext.broadcast(hot)
     schema = RESULT + (", kept_text string" if with_text else "")
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
@@ -257,7 +302,7 @@ def apply(documents: DataFrame, answers: DataFrame, window: int, with_text: bool
         for block in blocks(texts.column("text"), SEND_BYTES):
             w = words(block)
             own = slice(block.first_row, block.first_row + len(block))
-            gone = covered(w, docs[own], known[own], found, window)
+            gone = covered(w, docs[own], known[own], found, window, shared.value)
             text, begins = packed(w)
             lengths = np.diff(begins)
             left = np.flatnonzero(~gone)
@@ -287,9 +332,10 @@ def remove_repeats(
     total = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     buckets = max(1, 3 * total // bucket_bytes)
     chunks = max(1, total // chunk_bytes) | 1  # odd, so that ids with a stride are dealt evenly
-    answers = materialise(answer(send(texts, window, buckets), window, chunks), "repeats")
+    hot = hot_minimisers(texts, window, bucket_bytes)
+    answers = materialise(answer(send(texts, window, buckets, hot), window, chunks), "repeats")
     dealt = texts.withColumn("chunk", chunk_of(F.col("doc_id"), F.col("text"), chunks))
-    return apply(dealt, answers, window, with_text)
+    return apply(dealt, answers, window, with_text, hot)
 
 
 def q_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
