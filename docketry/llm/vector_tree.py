@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (`SAMPLE` vectors; documented, chosen by
 split by k-means into `BRANCHES` children until a leaf has few. Every vector of the table is then put into a leaf. A query walks the
 tree with a priority queue over the distance to node centres: the nearest open node is opened first, and leaves come out in the order
 in which they are to be visited. How many leaves are visited is calibrated: a bounded set of queries is compared with exact answers over
-all rows, and visits widen until the mean recall reaches `RECALL`; if no number does, all leaves are visited.
+all rows, and visits widen until the mean recall reaches `RECALL`; if no number does, all leaves are visited. A query goes on past these
+visits until its leaves hold k rows besides those of its own id, so it gets k neighbours wherever there are so many.
 
 Leaves meet the queries that visit them as groups of bounded size: a leaf of many rows is salted by its measured count, its
 queries are repeated for each salt, and queries beyond a block's size go to further groups. Distances are exact, in double precision
@@ -91,14 +92,18 @@ def leaf_of(tree: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
             at[own] = first + nearest(points[own], tree["centre"][first:first + tree["width"][node]])
 
 
-def best_bins(tree: dict[str, np.ndarray], query: np.ndarray, visits: int) -> list[int]:
-    """Leaves in the order of visiting: the open node nearest to the query goes on first."""
-    queue, out = [(0.0, 0)], []
-    while queue and len(out) < visits:
+def best_bins(tree: dict[str, np.ndarray], query: np.ndarray, visits: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """Leaves in the order of visiting: the open node nearest to the query goes on first.
+
+    With `rows`, the number of rows of each leaf, visits go on until the leaves hold `least` rows.
+    """
+    queue, out, held = [(0.0, 0)], [], 0
+    while queue and (len(out) < visits or (rows is not None and held < least)):
         _, node = heapq.heappop(queue)
         first = tree["child"][node]
         if first < 0:
             out.append(int(tree["leaf"][node]))
+            held += int(rows[out[-1]]) if rows is not None else 0
             continue
         gaps = tree["centre"][first:first + tree["width"][node]] - query
         for i, d in enumerate(np.einsum("ij,ij->i", gaps, gaps).tolist()):
@@ -198,15 +203,23 @@ def build(table: DataFrame, vector: str = "embedding", sample: int = SAMPLE) ->
     return Index(tree, leaves, leaves.groupBy("leaf").agg(F.count("*").alias("n")))
 
 
-def visited(index: Index, queries: DataFrame, visits: int) -> DataFrame:
-    """`query_id`, `vector`, `leaf`, `turn` of the leaves that each query visits."""
-    shared = index.leaves.sparkSession.sparkContext.broadcast(index.tree)
+def visited(index: Index, queries: DataFrame, visits: int, k: int = 0) -> DataFrame:
+    """`query_id`, `vector`, `leaf`, `turn` of the leaves that each query visits, which hold `k` rows of other ids if there are so many."""
+    rows = np.zeros(index.n_leaves, np.int64)
+    for r in index.sizes.collect():
+        rows[r.leaf] = r.n
+    shared = index.leaves.sparkSession.sparkContext.broadcast((index.tree, rows))
+    # Rows of the query's own id are no neighbours; an id may be repeated.
+    asked = queries.select("vec_id", "vector")
+    own = index.leaves.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asked.join(own, "vec_id", "left").select("vec_id", "vector", (F.coalesce("own", F.lit(0)) + k).alias("least"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 100):
                 some = batch.slice(low, 100)
-                bins = [best_bins(shared.value, q, visits) for q in matrix(some.column("vector"))]
+                tree, held = shared.value
+                bins = [best_bins(tree, q, visits, held, n) for q, n in zip(matrix(some.column("vector")), some.column("least").to_pylist())]
                 row = np.repeat(np.arange(len(some)), [len(b) for b in bins])
                 turns = np.concatenate([np.arange(len(b)) for b in bins] or [np.empty(0, np.int64)])
                 picked = some.take(pa.array(row))
@@ -215,7 +228,7 @@ def visited(index: Index, queries: DataFrame, visits: int) -> DataFrame:
                     ["query_id", "vector", "leaf", "turn"],
                 )
 
-    return queries.select("vec_id", "vector").mapInArrow(walk, "query_id long, vector array<double>, leaf long, turn long")
+    return asked.mapInArrow(walk, "query_id long, vector array<double>, leaf long, turn long")
 
 
 def search_leaves(index: Index, stops: DataFrame, k: int) -> DataFrame:
@@ -254,7 +267,7 @@ def calibrate(index: Index, k: int, recall: float = RECALL, queries: int = CALIB
 
 def search(index: Index, queries: DataFrame, k: int = NEIGHBOURS, visits: int | None = None) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score` of the `k` nearest found; `queries` has `vec_id` and `vector`."""
-    stops = materialise(visited(index, queries, visits or calibrate(index, k)), "stops")
+    stops = materialise(visited(index, queries, visits or calibrate(index, k), k), "stops")
     return merged(search_leaves(index, stops, k), k)
 
 
