@@ -2,8 +2,8 @@
 
 Seeds are what the base patterns find: e-mail addresses, IP addresses, card and phone numbers. Every seed induces
 lexical patterns from the words around it (the two words before it; the word before and the word
-after it). Other identifier-like strings (runs with four digits in a row, or with an @) are unknown instances of
-the patterns they stand in. Spark scores the graph of patterns and instances in rounds: a pattern is as sure of a kind as the mean
+after it). Other identifier-like strings are unknown instances of the patterns they stand in: strings without white space
+that hold a digit or an @, and runs of digit groups joined by spaces, dots, hyphens, brackets or colons. Spark scores the graph of patterns and instances in rounds: a pattern is as sure of a kind as the mean
 belief of its instances, an instance as sure as one of its patterns being right. Unknown instances that end up
 above `BELIEF`, in a pattern that `SUPPORT` different seeds induced, become spans of that kind.
 
@@ -37,7 +37,9 @@ SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ROUNDS = 3
 SUPPORT = 5
 BELIEF = 0.8
-UNKNOWN = r"(?<!\S)(?=\S*?(?:[0-9]{4}|@))\S++"
+UNKNOWN = r"(?<!\S)(?=\S*?[0-9@])\S++"
+# Digit groups and what joins them, from a digit, a plus or a closed bracket to a digit.
+GROUPS = r"(?<![^\s\x22'<{(\[])\+?+(?:\([0-9]++\)|[0-9])[0-9\x20.():\[\]-]*[0-9](?![\w@])"
 CONTEXT = 64
 
 _FOUND = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -56,13 +58,15 @@ def positions(hits: str, pieces: str) -> Column:
     """
     return F.expr(f"""
         aggregate(
-            transform({hits}, (h, i) -> struct(h AS hit, {pieces}[i] AS gap, {pieces}[i + 1] AS after)),
-            struct(0 AS at, cast(array() AS {_FOUND}) AS out),
+            transform({hits}, (h, i) -> struct(h AS hit, {pieces}[i] AS gap,
+                concat(left({pieces}[i + 1], {CONTEXT}), left(coalesce(get({hits}, i + 1), ''), {CONTEXT}), left(coalesce(get({pieces}, i + 2), ''), {CONTEXT})) AS after)),
+            struct(0 AS at, '' AS said, cast(array() AS {_FOUND}) AS out),
             (acc, x) -> struct(
                 acc.at + char_length(x.gap) + char_length(x.hit) AS at,
+                right(concat(acc.said, x.gap, x.hit), {CONTEXT}) AS said,
                 concat(acc.out, array(struct(
                     acc.at + char_length(x.gap) AS start, acc.at + char_length(x.gap) + char_length(x.hit) AS end,
-                    x.hit AS value, right(x.gap, {CONTEXT}) AS left, left(x.after, {CONTEXT}) AS right))) AS out),
+                    x.hit AS value, right(concat(acc.said, x.gap), {CONTEXT}) AS left, left(x.after, {CONTEXT}) AS right))) AS out),
             acc -> acc.out)""")
 
 
@@ -81,18 +85,19 @@ def passes(kind: str) -> str:
 
 
 def base_spans(documents: DataFrame, text: str = "text") -> DataFrame:
-    """All columns, with `base` (spans of the base patterns) and `others` (identifier-like strings that touch none)."""
+    """All columns, with `base` (spans of the base patterns) and `others` (identifier-like strings and runs of digit groups that touch none)."""
     rows = documents.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     body = F.col("__text")
     for kind in KINDS:
         sign = body.contains(SIGNS[kind]) if SIGNS[kind] else None
         rows = rows.withColumn(f"__hit_{kind}", matches("__text", PATTERNS[kind], sign))
-    rows = rows.withColumn("__hit_other", matches("__text", UNKNOWN, body.rlike("[0-9]{4}|@")))
-    for kind in (*KINDS, "other"):
-        pattern = UNKNOWN if kind == "other" else PATTERNS[kind]
+    rows = rows.withColumn("__hit_other", matches("__text", UNKNOWN, body.rlike("[0-9@]")))
+    rows = rows.withColumn("__hit_groups", matches("__text", GROUPS, body.rlike("[0-9]")))
+    for kind in (*KINDS, "other", "groups"):
+        pattern = {"other": UNKNOWN, "groups": GROUPS, **PATTERNS}[kind]
         hits = F.col(f"__hit_{kind}")
         rows = rows.withColumn(f"__gap_{kind}", F.when(F.size(hits) > 0, F.split(body, pattern, -1)).otherwise(F.array().cast("array<string>")))
-    for kind in (*KINDS, "other"):
+    for kind in (*KINDS, "other", "groups"):
         rows = rows.withColumn(f"__at_{kind}", positions(f"__hit_{kind}", f"__gap_{kind}"))
     parts = []
     for rank, kind in enumerate(KINDS):
@@ -105,8 +110,8 @@ def base_spans(documents: DataFrame, text: str = "text") -> DataFrame:
         s.end - char_length(s.value) + char_length(regexp_replace(s.value, '[^A-Za-z0-9]+$', '')) AS end,
         regexp_replace(regexp_replace(s.value, '^["\'(\\[<{]+', ''), '[^A-Za-z0-9]+$', '') AS value, s.left AS left, s.right AS right))"""
     rows = rows.withColumn("__trimmed", F.expr(trimmed))
-    rows = rows.withColumn("others", F.expr("filter(__trimmed, o -> o.end > o.start AND NOT exists(base, s -> s.start < o.end AND o.start < s.end))"))
-    return rows.drop("__text", "__trimmed", *(f"__{part}_{kind}" for part in ("hit", "gap", "at") for kind in (*KINDS, "other")))
+    rows = rows.withColumn("others", F.expr("filter(concat(__trimmed, __at_groups), o -> o.end > o.start AND NOT exists(base, s -> s.start < o.end AND o.start < s.end))"))
+    return rows.drop("__text", "__trimmed", *(f"__{part}_{kind}" for part in ("hit", "gap", "at") for kind in (*KINDS, "other", "groups")))
 
 
 def contexts(left: str, right: str) -> Column:
@@ -151,7 +156,10 @@ def find(digest: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, belief
     believed = learned(spans, rounds, support, belief)
     places = unknown.select("uid", "o.start", "o.end", "o.value", F.explode(contexts("o.left", "o.right")).alias("pattern"))
     hits = places.join(believed, ["pattern", "value"]).select("uid", F.struct("start", "rank", "end").alias("span")).distinct()
-    return hits.groupBy("uid").agg(F.array_sort(F.collect_list("span")).alias("added"))
+    added = hits.groupBy("uid").agg(F.array_sort(F.collect_list("span")).alias("all"))
+    # A string within a run that is of the same kind adds nothing.
+    inside = "o.rank = s.rank AND o.start <= s.start AND s.end <= o.end AND o.end - o.start > s.end - s.start"
+    return added.select("uid", F.expr(f"filter(all, s -> NOT exists(all, o -> {inside}))").alias("added"))
 
 
 def joined(spans: str) -> Column:
