@@ -12,7 +12,8 @@ merged by document. Hashes propose, the words themselves decide.
 
 Edge cases: null and empty texts have no words and are clean; repeated document ids are judged
 row by row; items of null or empty text give no window; repeated items each count under
-their own id; an empty benchmark leaves all documents clean; columns beside id and text are
+their own id; items without an id hit like any other and count as one item, which the digest of
+the item list leaves out; an empty benchmark leaves all documents clean; columns beside id and text are
 neither read nor lost (`remove_contaminated` keeps them all).
 """
 
@@ -35,9 +36,9 @@ BLOCK_LIMIT = 32 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def window_set(items: list[tuple[str, str]], window: int) -> dict[int, tuple]:
+def window_set(items: list[tuple[str | None, str]], window: int) -> dict[int, tuple]:
     """The windows of a benchmark by length: sorted hashes, a bitmap of them, the words, the items that hold them."""
-    found: dict[int, dict[bytes, set[str]]] = {}
+    found: dict[int, dict[bytes, set[str | None]]] = {}
     for item, text in items:
         for block in blocks(pa.array([text])):
             w = words(block, ALPHANUMERIC, lower=True)
@@ -55,11 +56,11 @@ def window_set(items: list[tuple[str, str]], window: int) -> dict[int, tuple]:
         # Most document windows are ruled out by one look at the bitmap of first bits.
         bits = np.zeros(1 << 20, bool)
         bits[hashed >> np.uint64(44)] = True
-        by_length[length] = (hashed[order], bits, [texts[i] for i in order], [sorted(held[texts[i]]) for i in order])
+        by_length[length] = (hashed[order], bits, [texts[i] for i in order], [list(held[texts[i]]) for i in order])
     return by_length
 
 
-def matches(found: dict[int, tuple], w: Words) -> Iterator[tuple[int, int, list[str]]]:
+def matches(found: dict[int, tuple], w: Words) -> Iterator[tuple[int, int, list[str | None]]]:
     """`(first word, length, items)` of every occurrence in a block of documents."""
     for length, (hashed, bits, texts, items) in found.items():
         own = windows(w.hash, length)
@@ -77,7 +78,7 @@ def matches(found: dict[int, tuple], w: Words) -> Iterator[tuple[int, int, list[
                     yield at, length, items[i]
 
 
-def scan(column: pa.Array, found: dict[int, tuple]) -> Iterator[tuple[Words, np.ndarray, list[set[str]]]]:
+def scan(column: pa.Array, found: dict[int, tuple]) -> Iterator[tuple[Words, np.ndarray, list[set[str | None]]]]:
     """Block by block: the words, which of them are hit, and the items of each row."""
     for block in blocks(column):
         w = words(block, ALPHANUMERIC, lower=True)
@@ -94,9 +95,9 @@ def per_row(w: Words, marks: np.ndarray) -> np.ndarray:
     return np.bincount(w.row[marks], minlength=len(w.counts)) if len(w.counts) else np.zeros(0, np.int64)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark's items in blocks of at most about `limit` bytes, whose number follows its measured size."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     count = max(1, -(-int(total) * 2 // limit)) if total > limit else 1
     for k in range(count):
@@ -119,14 +120,14 @@ def decontaminate(
             for parts in rounds:
                 w = parts[0][0]
                 marks = np.logical_or.reduce([m for _, m, _ in parts])
-                held = [sorted(set().union(*sets_of)) for sets_of in zip(*(i for _, _, i in parts))]
+                held = [set().union(*sets_of) for sets_of in zip(*(i for _, _, i in parts))]
                 hit = per_row(w, marks)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(at, len(w.counts)),
                     pa.array(w.counts.astype(np.int64)),
                     pa.array(hit.astype(np.int64)),
                     pa.array([len(h) for h in held], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(h).encode()).hexdigest() for h in held], pa.string()),
+                    pa.array([hashlib.sha256(",".join(sorted(h - {None})).encode()).hexdigest() for h in held], pa.string()),
                     pa.array((hit > 0) & (share * hit >= w.counts)),
                 ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
                 at += len(w.counts)
