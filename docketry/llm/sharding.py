@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
 Each dimension (text size, language, source, id) is quantised into cells of equal depth, with borders measured over
-all rows. A row's cells give its index on a Hilbert curve, so rows that lie together on the curve are alike in
+all rows, strings by the rank of the whole string. A row's cells give its index on a Hilbert curve, so rows that lie together on the curve are alike in
 all dimensions. Rows are sorted by that index and cut into runs whose row counts differ by at most one (the law
 `rows`); files written in this order have narrow minima and maxima in every dimension, and readers skip files by any of
 them.
@@ -15,6 +15,7 @@ get slots one after another; fewer rows than shards leave shards empty; an empty
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,33 @@ LAW = "rows"
 ACCURACY = 10_000
 
 
-def ordered_code(value: Column) -> Column:
-    """A number that sorts as the first six bytes of a string do."""
-    return F.conv(F.rpad(F.substring(F.hex(value.cast("string").cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+def string_borders(rows: DataFrame, dimension: str, cells: int) -> list[bytes]:
+    """Strings that cut the rows into cells of about equal depth, from counts of the distinct values, whole strings compared.
+
+    Values are summed up by range; the borders alone, fewer than `cells`, come to the driver.
+    """
+    value = F.col(dimension)
+    counts = rows.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+    placed = counts.repartitionByRange("value").withColumn("__part", F.spark_partition_id())
+    placed = materialise(placed, "values")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range of the sort.
+    bases = placed.groupBy("__part").agg(F.sum("n").alias("n"))
+    bases = bases.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("__part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(bases), "__part")
+    upto = F.col("upto") + F.col("base")
+    # The value in which a share of the rows ends is a border.
+    share = lambda c: F.floor(c * cells / F.col("total"))
+    found = summed.where((share(upto) > share(upto - F.col("n"))) & (upto < F.col("total"))).select("value").collect()
+    return sorted(r.value.encode() for r in found)
+
+
+def string_cells(column: pa.Array, borders: list[bytes]) -> np.ndarray:
+    """The number of borders below each string; nulls come first."""
+    coded = column.dictionary_encode()
+    of_value = np.array([bisect_left(borders, v.encode()) for v in coded.dictionary.to_pylist()] + [0], np.int64)
+    return of_value[coded.indices.fill_null(len(of_value) - 1).to_numpy()]
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,18 +92,26 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def on_curve(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """`rows` with `curve`, the Hilbert index of the quantised `dimensions` (numbers)."""
+    """`rows` with `curve`, the Hilbert index of the quantised `dimensions` (numbers and strings)."""
+    strings = [d for d in dimensions if isinstance(rows.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dimensions if d not in strings]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     # One row of 2**bits - 1 borders for each dimension comes to the driver.
-    measured = rows.agg(*[F.percentile_approx(d, shares, ACCURACY).alias(d) for d in dimensions]).first()
-    borders = {d: np.unique(np.array(measured[d] or [], float)) for d in dimensions}
+    measured = rows.agg(*[F.percentile_approx(d, shares, ACCURACY).alias(d) for d in numbers]).first()
+    borders = {d: np.unique(np.array(measured[d] or [], float)) for d in numbers}
+    borders.update({d: string_borders(rows, d, 1 << bits) for d in strings})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(d)) for d in dimensions]
-            values = [c.cast(pa.float64()).fill_null(-np.inf).to_numpy() for c in columns]
+            cells = []
+            for d in dimensions:
+                column = batch.column(batch.schema.get_field_index(d))
+                if d in strings:
+                    cells.append(string_cells(column, borders[d]))
+                else:
+                    cells.append(np.searchsorted(borders[d], column.cast(pa.float64()).fill_null(-np.inf).to_numpy(), "left"))
             # Few distinct values take cells over the whole side, so their first bits tell them apart.
-            cells = np.stack([np.searchsorted(borders[d], v, "left") * (1 << bits) // (len(borders[d]) + 1) for d, v in zip(dimensions, values)], axis=1)
+            cells = np.stack([c * (1 << bits) // (len(borders[d]) + 1) for d, c in zip(dimensions, cells)], axis=1)
             yield batch.append_column("curve", pa.array(hilbert_index(cells, bits)))
 
     return rows.mapInArrow(index, T.StructType([*rows.schema.fields, T.StructField("curve", T.LongType())]))
@@ -115,11 +148,10 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, bits: int = BITS
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        ordered_code(F.col("lang")).alias("lang_code") if "lang" in documents.columns else F.lit(0.0).alias("lang_code"),
-        ordered_code(F.col("source")).alias("source_code") if "source" in documents.columns else F.lit(0.0).alias("source_code"),
+        *[F.col(d).cast("string").alias(d) if d in documents.columns else F.lit("").alias(d) for d in ("lang", "source")],
         *kept,
     )
-    rows = on_curve(materialise(rows, "metadata"), ["size", "lang_code", "source_code", "doc_id"], bits)
+    rows = on_curve(materialise(rows, "metadata"), ["size", "lang", "source", "doc_id"], bits)
     rows = ranked(rows, ["curve", "doc_id", "text_crc32", "size"])
     shard, slot = cut(F.col("position"), F.col("total"), shards)
     return rows.select(
