@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import oracle
+from docketry.llm.conversations import q_conversations
 from docketry.llm.decontaminate import q_decontaminate
 from docketry.llm.language import q_language
+from docketry.llm.merkle import q_merkle
+from docketry.llm.mixing import q_mixing
 from docketry.llm.near_dedup import q_near_dedup
 from docketry.llm.packing import q_packing
 from docketry.llm.personal_data import q_personal_data
@@ -29,10 +32,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": q_personal_data,
     "op9_near_dedup": q_near_dedup,
     "op10_decontamination": q_decontaminate,
+    "op11_conversations": q_conversations,
+    "op12_mixing": q_mixing,
+    "op13_merkle": q_merkle,
 }
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_near_dedup": oracle.NEAR_DEDUP,
     "op10_decontamination": oracle.DECONTAMINATION,
+    "op11_conversations": oracle.CONVERSATIONS,
+    "op12_mixing": oracle.MIXING,
+    "op13_merkle": oracle.MERKLE,
 }
