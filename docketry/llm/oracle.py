@@ -150,7 +150,7 @@ LEFT JOIN said d ON o.conv_id IS NOT DISTINCT FROM d.conv_id"""
 )
 
 MIXING = r"""
-WITH docs AS (SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))::BIGINT AS size FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))::BIGINT AS size FROM documents),
 named AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (
   SELECT source, source_size, 2 * source_size AS most, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(source_size) OVER () AS everything FROM named
@@ -162,15 +162,32 @@ filling AS (
 ),
 level AS (SELECT (1.5::DOUBLE * everything::DOUBLE - held::DOUBLE) / free::DOUBLE AS level FROM filling WHERE most::DOUBLE > (1.5::DOUBLE * everything::DOUBLE - held::DOUBLE) / free::DOUBLE * weight ORDER BY room, source NULLS LAST LIMIT 1),
 targets AS (SELECT source, source_size, least(most::DOUBLE, coalesce((SELECT level FROM level), 0::DOUBLE) * weight) AS target FROM weighed),
-expected AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size::DOUBLE * 4294967296)::HUGEINT ELSE 0 END AS units,
-         ('0x' || left(md5(coalesce('mix=' || d.source, 'mix')), 8))::BIGINT AS start
+placed AS (
+  SELECT d.*, t.source_size, t.target, d.size > 0 AND t.target > 0 AND d.size >= greatest(t.target / 100, t.source_size / 1000000) AS heavy
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ),
-summed AS (SELECT *, sum(units) OVER (PARTITION BY source ORDER BY size DESC, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) + start AS upto FROM expected)
-SELECT doc_id, size, source_size, target, (size * (upto // 4294967296 - (upto - units) // 4294967296))::BIGINT AS taken, source,
-       (upto // 4294967296 - (upto - units) // 4294967296)::BIGINT AS copies
-FROM summed"""
+heavy AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id NULLS FIRST) AS j FROM placed WHERE heavy),
+walked AS (
+  SELECT source, 0::BIGINT AS j, NULL::BIGINT AS doc_id, 0::HUGEINT AS copies, target AS rest, source_size AS words, ('0x' || left(md5(coalesce('mix=' || source, 'mix')), 8))::HUGEINT AS upto FROM targets
+  UNION ALL
+  SELECT source, j, doc_id, (upto + units) // 4294967296, rest - ((upto + units) // 4294967296)::DOUBLE * size, words - size, (upto + units) % 4294967296
+  FROM (
+    SELECT h.source, h.j, h.doc_id, h.size, rest, words, upto, floor(least(greatest(rest / words::DOUBLE, 0), 2) * 4294967296)::HUGEINT AS units
+    FROM walked w JOIN heavy h ON w.source IS NOT DISTINCT FROM h.source AND h.j = w.j + 1
+  )
+),
+rests AS (SELECT source, arg_max(rest, j) AS rest, arg_max(words, j) AS words, arg_max(upto, j) AS upto FROM walked GROUP BY source),
+expected AS (
+  SELECT p.*, r.upto AS start, CASE WHEN words > 0 THEN floor(least(greatest(rest / words::DOUBLE, 0), 2) * 4294967296)::HUGEINT ELSE 0 END AS units
+  FROM placed p JOIN rests r ON p.source IS NOT DISTINCT FROM r.source WHERE NOT heavy
+),
+summed AS (SELECT *, sum(units) OVER (PARTITION BY source ORDER BY size DESC, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) + start AS upto FROM expected),
+counted AS (
+  SELECT doc_id, size, source_size, target, source, (upto // 4294967296 - (upto - units) // 4294967296)::BIGINT AS copies FROM summed
+  UNION ALL
+  SELECT h.doc_id, size, source_size, target, h.source, copies::BIGINT FROM heavy h JOIN walked w ON h.source IS NOT DISTINCT FROM w.source AND h.j = w.j
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM counted"""
 
 MERKLE = (
     r"""
