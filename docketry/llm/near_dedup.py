@@ -12,8 +12,11 @@ classes whose nodes were too large take further trees, as many as keep that prob
 A pair that meets in several nodes is weighed in one of them. Within a node a spanning forest of the likely pairs
 goes to the exact check on full sets; then only pairs between classes that are still apart, first the best
 few of each class, then all of them, which are checked inside the node and never written out. So a group of n near copies
-costs n rows and not n * n, and no link between groups is lost. Nodes that branch to the last level and are still large are one tight group: they are cut into
-blocks, and every block meets every other block, in bounded tasks, until their classes are linked.
+costs n rows and not n * n, and no link between groups is lost.
+
+The members of a large node are first compared with a few pivots of it, in slices and on full sets, and get the label of what they are linked with. A
+large node of one label is done. One with a main label and few others is cut into blocks of the main label's members, each with all the others; only nodes of
+many labels branch. Nodes that branch to the last level and are still large are cut into blocks, and every block meets every other block, in bounded tasks.
 
 Edge cases: null, empty and wordless texts have no set, are linked with nothing and kept; a text of
 fewer words than a shingle is one shingle; rows with a null id are kept, with a null component; rows that
@@ -53,6 +56,9 @@ DEVIATIONS = 4
 # Bytes of sets that a node may bring to a task; the pairs of a heavier one are written out.
 NODE_BYTES = 64 << 20
 BEST = 8
+# Members of a large node that all others are compared with, on average, and the first choices whose nodes are.
+PIVOTS = 32
+PIVOT_PLACES = 3
 FILTER_BITS = 1 << 24
 ROOT_BITS = (1 << 31) - 1
 
@@ -272,11 +278,10 @@ def weighed_here(node: np.ndarray, roots: np.ndarray, a: np.ndarray, b: np.ndarr
     return np.where(is_root, first == own, ~common.any(axis=1))
 
 
-def node_pairs(table: pa.Table, least: int, labelled: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The likely pairs of whole nodes that belong to them: row numbers and agreeing coordinates."""
+def node_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likely pairs across labels of whole nodes that belong to them: row numbers and agreeing coordinates."""
     node = table.column("node").to_numpy()
-    label = table.column("label").to_numpy() if labelled else None
-    a, b, agree = likely_pairs(node, sketch_matrix(table.column("sketch")), label, least)
+    a, b, agree = likely_pairs(node, sketch_matrix(table.column("sketch")), table.column("label").to_numpy(), least)
     here = weighed_here(node, np.array(table.column("roots").to_pylist(), np.int32).reshape(len(node), -1), a, b)
     return a[here], b[here], agree[here]
 
@@ -284,16 +289,18 @@ def node_pairs(table: pa.Table, least: int, labelled: bool) -> tuple[np.ndarray,
 def propose(members: DataFrame, least: int, how: str) -> DataFrame:
     """Pairs to check (`a`, `b`) from members (`node`, `rep`, `sketch`, `roots`, `label`) of small nodes.
 
-    `forest`: a spanning forest of each node; `best`: the best few of each class across labels; `all`: all
-    across labels. A row without `b` says that the class `a` has more pairs in the node.
+    All pairs are across labels. `forest`: a spanning forest of the labels; `best`: the best few of each class; `all`: all.
+    A row without `b` says that the class `a` has more pairs in the node.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
             node, rep = table.column("node").to_numpy(), table.column("rep").to_numpy()
-            a, b, agree = node_pairs(table, least, how != "forest")
+            a, b, agree = node_pairs(table, least)
             if how == "forest":
-                chosen = spanning_forest(len(node), a, b, agree)
+                # Nodes have labels of their own here: a label in two nodes is linked in each.
+                of_node = np.unique(np.stack([node, table.column("label").to_numpy()], axis=1), axis=0, return_inverse=True)[1].ravel()
+                chosen = spanning_forest(len(node), of_node[a], of_node[b], agree)
             elif how == "best":
                 chosen = best_of_each(len(node), a, b, agree, BEST)
             else:
@@ -325,7 +332,7 @@ def confirm_inside(members: DataFrame, least: int, part: int, whole: int) -> Dat
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node", rows=512):
             rep = table.column("rep").to_numpy()
-            a, b, _ = node_pairs(table, least, True)
+            a, b, _ = node_pairs(table, least)
             sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
             true = np.array([linked(sets[i], sets[j], part, whole) for i, j in zip(a.tolist(), b.tolist())], bool)
             a, b = a[true], b[true]
@@ -379,17 +386,58 @@ def confirm(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def link_to_pivots(members: DataFrame, sets: DataFrame, classes: DataFrame, least: int, limit: int, node_bytes: int, part: int, whole: int) -> DataFrame:
+    """Links (`a`, `b`) of members (`node`, `rep`) of large nodes with some of their node, enough to join what they join.
+
+    A node is dealt out in slices of bounded size, and its pivots go to each of them.
+    """
+    sized = members.join(classes.select("rep", "sketch", "n_shingles"), "rep")
+    totals = sized.groupBy("node").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    totals = totals.withColumn("slices", F.greatest(F.ceil(F.col("n") / limit), F.ceil(8 * F.col("bytes") / node_bytes)).cast("int"))
+    known = sized.join(totals, "node").drop("n_shingles").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    # The same classes are pivots of nodes of like size.
+    chance = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 40)) / (1 << 40)
+    pivots = known.where(chance < PIVOTS / F.col("n")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    both = known.withColumn("label", F.lit(0)).unionByName(pivots.withColumn("label", F.lit(1)))
+    both = both.select(F.xxhash64("node", "slice").alias("node"), "rep", "sketch", "label").join(sets.withColumnRenamed("id", "rep"), "rep")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "node", rows=512):
+            rep = table.column("rep").to_numpy()
+            a, b, agree = likely_pairs(table.column("node").to_numpy(), sketch_matrix(table.column("sketch")), table.column("label").to_numpy(), least)
+            sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
+            joined, links = {}, []
+
+            def top(x: int) -> int:
+                while (up := joined.get(x, x)) != x:
+                    joined[x] = x = joined.get(up, up)
+                return x
+
+            for k in np.argsort(-agree, kind="stable").tolist():
+                i, j = int(a[k]), int(b[k])
+                x, y = top(int(rep[i])), top(int(rep[j]))
+                if x != y and linked(sets[i], sets[j], part, whole):
+                    joined[x] = y
+                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            low, high = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+
+    return both.repartition("node").sortWithinPartitions("node").mapInArrow(check, "a long, b long").distinct()
+
+
 def branch(members: DataFrame, classes: DataFrame, twice: int) -> DataFrame:
-    """The next level: children (`node`, `rep`) of the members of large nodes."""
+    """The next level: children (`node`, `rep`, `label`) of the members of large nodes."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 sketches = sketch_matrix(batch.column("sketch"))
                 nodes, member = child_nodes(batch.column("node").to_numpy().view(np.uint64), sketches, twice)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("rep").take(pa.array(member))], ["node", "rep"])
+                same = [batch.column(c).take(pa.array(member)) for c in ("rep", "label")]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *same], ["node", "rep", "label"])
 
-    return members.join(classes.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(grow, "node long, rep long")
+    known = members.select("node", "rep").join(classes.select("rep", "label", "sketch"), "rep").select("node", "rep", "label", "sketch")
+    return known.mapInArrow(grow, "node long, rep long, label long")
 
 
 def block_pairs(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
@@ -402,6 +450,15 @@ def block_pairs(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     return met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
+def label_blocks(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """Members of large nodes of one main label, as bounded nodes: each block of its members with all members of other labels."""
+    cut = members.join(sizes, "node").withColumn("blocks", F.ceil((F.col("n") - F.col("others")) / max(1, limit // 2)).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    met = cut.withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(every)))
+    return met.select(F.xxhash64("node", "block").alias("node"), "rep", F.lit(None).cast("int").alias("place"))
+
+
 def shared_levels(part: int, whole: int, depth: int) -> list[float]:
     """For each level the chance that a pair at the threshold still shares a node of one tree there."""
     share, twice = whole / part, branching(part, whole) / 1024
@@ -422,15 +479,24 @@ def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, tw
     """Members (`node`, `rep`, `place`) of all nodes that are compared, and the level (`rep`, `level`) that members of large nodes branch to."""
     done, deep = [], []
     for at in range(depth + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # A node of one label has nothing left to find.
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("several")).where("several").drop("several")
         sizes = materialise(sizes, "node_sizes")
         done.append(level.join(sizes.where(F.col("n") <= limit).select("node"), "node").select("node", "rep", "place"))
         large = sizes.where(F.col("n") > limit)
         if large.isEmpty():
             break
         members = level.join(large.select("node"), "node")
+        mains = members.groupBy("node", "label").agg(F.count("*").alias("of_label")).groupBy("node").agg(F.max(F.struct("of_label", "label")).alias("main"))
+        large = materialise(large.join(mains, "node").select("node", "n", F.col("main.label").alias("main"), (F.col("n") - F.col("main.of_label")).alias("others")), "large")
+        tight = F.col("others") <= limit // 2
+        done.append(label_blocks(members, large.where(tight), limit))
+        large = large.where(~tight)
+        if large.isEmpty():
+            break
+        members = level.join(large.select("node"), "node")
         deep.append(members.select("rep").distinct().withColumn("level", F.lit(min(at + 1, depth))))
-        level = block_pairs(members, large, limit) if at == depth else branch(members, classes, twice)
+        level = block_pairs(members, large.select("node", "n"), limit) if at == depth else branch(members, classes, twice)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
     else:
         done.append(level.select("node", "rep", "place"))
@@ -444,7 +510,7 @@ def small_nodes(classes: DataFrame, limit: int, depth: int, part: int, whole: in
     that want more than the least that a class had before it was raised, so any two of them meet in the whole round.
     """
     twice, enough = branching(part, whole), trees_by_depth(part, whole, depth, trees)
-    out, deep = grow_levels(classes.select("rep", F.posexplode("nodes").alias("place", "node")), classes, limit, depth, twice)
+    out, deep = grow_levels(classes.select("rep", "label", F.posexplode("nodes").alias("place", "node")), classes, limit, depth, twice)
     had, turn = None, 0
     while deep is not None:
         deepest = deep.groupBy("rep").agg(F.least(F.max("level") + SPARE, F.lit(depth)).alias("spared"), F.max("level").alias("level"))
@@ -493,25 +559,36 @@ def judged(
     least, trees = least_agreement(part, whole), trees or enough_trees(part, whole)
     roots = root_choices(trees, COORDINATES, branching(part, whole))
     signed = materialise(sign(documents, shingle, roots), "signatures")
-    classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes")).alias("m"))
-    classes = classes.select("key", class_name(F.col("m.doc_id"), F.col("key")).alias("rep"), "m.doc_id", "m.sketch", "m.nodes")
+    classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes", "n_shingles")).alias("m"))
+    classes = classes.select("key", class_name(F.col("m.doc_id"), F.col("key")).alias("rep"), "m.doc_id", "m.sketch", "m.nodes", "m.n_shingles")
     classes = materialise(classes, "classes")
+    labels, links = None, classes.sparkSession.createDataFrame([], "a long, b long")
+    first = classes.select("rep", F.posexplode("nodes").alias("place", "node")).where(F.col("place") < PIVOT_PLACES).drop("place")
+    large = materialise(first.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node_limit).select("node"), "large")
+    if not large.isEmpty():
+        first = materialise(first.join(large, "node"), "in_large")
+        sets = materialise(sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(first.select("rep").distinct(), "rep", "left_semi"), shingle), "sets")
+        links = materialise(link_to_pivots(first, sets, classes, least, node_limit, node_bytes, part, whole), "links")
+        labels = materialise(components(links), "components")
+        classes = classes.join(labels, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
+        classes = materialise(classes, "classes")
+    else:
+        classes = classes.withColumn("label", F.col("rep"))
     placed = materialise(small_nodes(classes, node_limit, depth, part, whole, trees), "placed")
     choices = len(roots)
     nowhere = F.array_repeat(F.lit(0), choices)
-    known = classes.select("rep", "sketch").join(first_level(placed, choices), "rep", "left")
-    members = placed.join(known, "rep").select("node", "rep", "sketch", F.coalesce("roots", nowhere).alias("roots"))
+    known = classes.select("rep", "label", "sketch").join(first_level(placed, choices), "rep", "left")
+    members = placed.join(known, "rep").select("node", "rep", "label", "sketch", F.coalesce("roots", nowhere).alias("roots"))
     members = materialise(members, "members")
 
     # First a forest of every node, then the best pairs of what is still apart, at last all the rest.
     proposed = materialise(propose(members, least, "forest"), "proposed")
     pairs = proposed.where("b IS NOT NULL").select("a", "b").distinct()
-    labels = None
     if not pairs.isEmpty():
         wanted = proposed.select(F.explode(F.array("a", "b")).alias("rep")).where("rep IS NOT NULL").distinct()
         sets = sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(wanted, "rep", "left_semi"), shingle)
         sets = materialise(sets, "sets")
-        links = materialise(confirm(pairs, sets, part, whole), "links")
+        links = materialise(links.unionByName(confirm(pairs, sets, part, whole)), "links")
         labels = materialise(components(links), "components")
         left = open_members(proposed, members, labels)
         if not left.isEmpty():
