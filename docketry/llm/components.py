@@ -14,11 +14,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star hangs every larger neighbour of an id on the smallest neighbour, a small star the
     smaller ones. Both are a minimum by key and a join, so a centre with many neighbours is
-    pre-aggregated and its join side may be split. Rounds write to the shared folder.
+    pre-aggregated and its join side may be split. Rounds write to the shared folder and end when all edges are stars.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "edges")
-    seen = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,12 +26,29 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        # Whoever hangs on an id hangs on one, and nothing hangs on it.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        ends = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if ends.where("hangs > 1 OR (hangs > 0 AND holds > 0)").isEmpty():
             break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`labels` (`id`, `component`) after further `links` (`a`, `b`); an id without a label is a component of its own."""
+    if labels is None:
+        return materialise(components(links), "components")
+    for end in ("a", "b"):
+        label = labels.select(F.col("id").alias(end), F.col("component").alias("label"))
+        links = links.join(label, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    links = materialise(links.where("a <> b").distinct(), "links")
+    if links.isEmpty():
+        return labels
+    moved = materialise(components(links), "moved")
+    after = labels.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    after = after.select("id", F.coalesce("to", "component").alias("component"))
+    return materialise(after.unionByName(moved.join(labels.select("id"), "id", "left_anti").select("id", "component")), "components")

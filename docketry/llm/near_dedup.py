@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketry.llm.blocks import NOT_SPACE, Words, blocks, mix, windows, words
-from docketry.llm.components import components
+from docketry.llm.components import joined
 from docketry.session import materialise
 
 SHINGLE = 3
@@ -167,7 +167,8 @@ def sign(documents: DataFrame, shingle: int, roots: list[tuple[int, int]]) -> Da
                 w = words(block, NOT_SPACE, lower=True)
                 sets, sizes = shingle_sets(w, shingle)
                 values = minwise(sets, sizes, COORDINATES)
-                sketch = (values & np.uint64(0xFFFF)).astype("<u2")
+                # Eight bits a value: values that differ seem alike now and then, and a pair too many is checked.
+                sketch = values.astype(np.uint8)
                 nodes = np.stack([mix(values[:, c] ^ mix(np.array([t * 1000 + c], np.uint64))[0]) for t, c in roots], axis=1).view(np.int64)
                 filled, at = sizes > 0, np.cumsum(sizes > 0) - 1
                 node_ends = np.concatenate([[0], np.cumsum(filled * len(roots))]).astype(np.int32)
@@ -203,7 +204,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096)
 
 
 def sketch_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def likely_pairs(node: np.ndarray, sketches: np.ndarray, label: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -406,18 +407,18 @@ def link_to_pivots(members: DataFrame, sets: DataFrame, classes: DataFrame, leas
             rep = table.column("rep").to_numpy()
             a, b, agree = likely_pairs(table.column("node").to_numpy(), sketch_matrix(table.column("sketch")), table.column("label").to_numpy(), least)
             sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
-            joined, links = {}, []
+            heads, links = {}, []
 
             def top(x: int) -> int:
-                while (up := joined.get(x, x)) != x:
-                    joined[x] = x = joined.get(up, up)
+                while (up := heads.get(x, x)) != x:
+                    heads[x] = x = heads.get(up, up)
                 return x
 
             for k in np.argsort(-agree, kind="stable").tolist():
                 i, j = int(a[k]), int(b[k])
                 x, y = top(int(rep[i])), top(int(rep[j]))
                 if x != y and linked(sets[i], sets[j], part, whole):
-                    joined[x] = y
+                    heads[x] = y
                     links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
             low, high = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
@@ -440,19 +441,19 @@ def branch(members: DataFrame, classes: DataFrame, twice: int) -> DataFrame:
     return known.mapInArrow(grow, "node long, rep long, label long")
 
 
-def block_pairs(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+def block_pairs(members: DataFrame, limit: int) -> DataFrame:
     """Members of nodes that stay large, as bounded nodes: every block of a node with every other."""
     half = max(1, limit // 4)
-    cut = members.join(sizes, "node").withColumn("blocks", F.ceil(F.col("n") / half).cast("int"))
+    cut = members.withColumn("blocks", F.ceil(F.col("n") / half).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = cut.select("node", "rep", "block", other)
     return met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
-def label_blocks(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+def label_blocks(members: DataFrame, mains: DataFrame, limit: int) -> DataFrame:
     """Members of large nodes of one main label, as bounded nodes: each block of its members with all members of other labels."""
-    cut = members.join(sizes, "node").withColumn("blocks", F.ceil((F.col("n") - F.col("others")) / max(1, limit // 2)).cast("int"))
+    cut = members.join(mains, "node").withColumn("blocks", F.ceil((F.col("n") - F.col("others")) / max(1, limit // 2)).cast("int"))
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = cut.withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(every)))
@@ -483,20 +484,21 @@ def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, tw
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("several")).where("several").drop("several")
         sizes = materialise(sizes, "node_sizes")
         done.append(level.join(sizes.where(F.col("n") <= limit).select("node"), "node").select("node", "rep", "place"))
-        large = sizes.where(F.col("n") > limit)
+        large = materialise(sizes.where(F.col("n") > limit), "large")
         if large.isEmpty():
             break
-        members = level.join(large.select("node"), "node")
-        mains = members.groupBy("node", "label").agg(F.count("*").alias("of_label")).groupBy("node").agg(F.max(F.struct("of_label", "label")).alias("main"))
-        large = materialise(large.join(mains, "node").select("node", "n", F.col("main.label").alias("main"), (F.col("n") - F.col("main.of_label")).alias("others")), "large")
+        members = materialise(level.join(large, "node"), "in_large")
+        mains = members.groupBy("node", "label").agg(F.count("*").alias("of_label"), F.first("n").alias("n"))
+        mains = mains.groupBy("node").agg(F.max(F.struct("of_label", "label")).alias("main"), F.first("n").alias("n"))
+        mains = materialise(mains.select("node", F.col("main.label").alias("main"), (F.col("n") - F.col("main.of_label")).alias("others")), "mains")
         tight = F.col("others") <= limit // 2
-        done.append(label_blocks(members, large.where(tight), limit))
-        large = large.where(~tight)
-        if large.isEmpty():
+        done.append(label_blocks(members, mains.where(tight), limit))
+        many = mains.where(~tight).select("node")
+        if many.isEmpty():
             break
-        members = level.join(large.select("node"), "node")
+        members = members.join(many, "node")
         deep.append(members.select("rep").distinct().withColumn("level", F.lit(min(at + 1, depth))))
-        level = block_pairs(members, large.select("node", "n"), limit) if at == depth else branch(members, classes, twice)
+        level = block_pairs(members, limit) if at == depth else branch(members, classes, twice)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
     else:
         done.append(level.select("node", "rep", "place"))
@@ -544,10 +546,10 @@ def first_level(members: DataFrame, choices: int) -> DataFrame:
     return placed.select("rep", F.transform(every, lambda j: F.coalesce(F.col("at")[j], F.lit(0))).alias("roots"))
 
 
-def open_members(proposed: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def open_members(proposed: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with pairs that were not proposed yet, with the label of their component."""
     more = proposed.where("b IS NULL").select("node", F.col("a").alias("rep")).distinct()
-    found = members.join(more, ["node", "rep"]).join(labels, F.col("rep") == F.col("id"), "left")
+    found = more.join(known, "rep").join(labels, F.col("rep") == F.col("id"), "left")
     return materialise(found.select("node", "rep", "sketch", "roots", F.coalesce("component", "rep").alias("label")), "left")
 
 
@@ -562,14 +564,13 @@ def judged(
     classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "nodes", "n_shingles")).alias("m"))
     classes = classes.select("key", class_name(F.col("m.doc_id"), F.col("key")).alias("rep"), "m.doc_id", "m.sketch", "m.nodes", "m.n_shingles")
     classes = materialise(classes, "classes")
-    labels, links = None, classes.sparkSession.createDataFrame([], "a long, b long")
+    labels = None
     first = classes.select("rep", F.posexplode("nodes").alias("place", "node")).where(F.col("place") < PIVOT_PLACES).drop("place")
     large = materialise(first.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node_limit).select("node"), "large")
     if not large.isEmpty():
         first = materialise(first.join(large, "node"), "in_large")
         sets = materialise(sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(first.select("rep").distinct(), "rep", "left_semi"), shingle), "sets")
-        links = materialise(link_to_pivots(first, sets, classes, least, node_limit, node_bytes, part, whole), "links")
-        labels = materialise(components(links), "components")
+        labels = joined(None, link_to_pivots(first, sets, classes, least, node_limit, node_bytes, part, whole))
         classes = classes.join(labels, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
         classes = materialise(classes, "classes")
     else:
@@ -578,8 +579,8 @@ def judged(
     choices = len(roots)
     nowhere = F.array_repeat(F.lit(0), choices)
     known = classes.select("rep", "label", "sketch").join(first_level(placed, choices), "rep", "left")
-    members = placed.join(known, "rep").select("node", "rep", "label", "sketch", F.coalesce("roots", nowhere).alias("roots"))
-    members = materialise(members, "members")
+    known = materialise(known.withColumn("roots", F.coalesce("roots", nowhere)), "known")
+    members = placed.select("node", "rep").join(known, "rep")
 
     # First a forest of every node, then the best pairs of what is still apart, at last all the rest.
     proposed = materialise(propose(members, least, "forest"), "proposed")
@@ -588,23 +589,20 @@ def judged(
         wanted = proposed.select(F.explode(F.array("a", "b")).alias("rep")).where("rep IS NOT NULL").distinct()
         sets = sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(wanted, "rep", "left_semi"), shingle)
         sets = materialise(sets, "sets")
-        links = materialise(links.unionByName(confirm(pairs, sets, part, whole)), "links")
-        labels = materialise(components(links), "components")
-        left = open_members(proposed, members, labels)
+        labels = joined(labels, confirm(pairs, sets, part, whole))
+        left = open_members(proposed, known, labels)
         if not left.isEmpty():
             proposed = materialise(propose(left, least, "best"), "proposed")
             pairs = proposed.where("b IS NOT NULL").select("a", "b").distinct()
-            links = materialise(links.unionByName(confirm(pairs, sets, part, whole)), "links")
-            labels = materialise(components(links), "components")
-            left = open_members(proposed, members, labels)
+            labels = joined(labels, confirm(pairs, sets, part, whole))
+            left = open_members(proposed, known, labels)
         if not left.isEmpty():
             rest = left.join(sets.withColumnRenamed("id", "rep"), "rep")
             heavy = rest.groupBy("node").agg(F.sum(F.octet_length("hashes")).alias("bytes")).where(F.col("bytes") > node_bytes).select("node")
             heavy = materialise(heavy, "heavy")
             inside = confirm_inside(rest.join(heavy, "node", "left_anti"), least, part, whole)
             written = propose(left.join(heavy, "node", "left_semi"), least, "all").where("b IS NOT NULL").select("a", "b").distinct()
-            links = materialise(links.unionByName(inside).unionByName(confirm(written, sets, part, whole)), "links")
-            labels = materialise(components(links), "components")
+            labels = joined(labels, inside.unionByName(confirm(written, sets, part, whole)))
     of_class = classes.select("key", "rep", F.col("doc_id").alias("first"))
     if labels is not None:
         inside = of_class.join(labels, F.col("rep") == F.col("id"))
