@@ -22,8 +22,8 @@ import pyarrow as pa
 from docketry.functions.process import per_process
 from docketry.llm.blocks import Block, blocks, class_table, ranges
 
-# Units that a process keeps, about 150 MB, and the longest unit kept.
-CACHED = 700_000
+# Units that a process keeps, about 45 MB, and the longest unit kept.
+CACHED = 200_000
 LONGEST = 48
 # Bytes of text that are cut and numbered at once.
 UNIT_BYTES = 8 << 20
