@@ -332,6 +332,7 @@ FROM places GROUP BY vec_id""",
     "knn_many": KNN_MANY,
     "ivf_assign": "SELECT vec_id, true AS nearest FROM embeddings",
     "ann_search": "SELECT DISTINCT label AS qid, 10::BIGINT AS hits, true AS exact, true AS recalled FROM embeddings",
+    "ann_search_leaves": "SELECT doc_id AS qid, 10::BIGINT AS hits, true AS exact, true AS recalled, true AS pruned FROM documents WHERE doc_id % 50 = 0",
     "markdown_objects": "WITH" + MARKDOWN + " SELECT object_path, md5(markdown) AS md5 FROM markdown",
     "object_inventory": r"""
 WITH objects AS (

@@ -11,9 +11,10 @@ from docketry.checks import inputs
 from docketry.checks.inputs import load
 from docketry.functions.paths import last_segment, stem, uri_bucket, uri_path
 from docketry.functions.vectors import cosine_distance, has_width, norm, unit
-from docketry.operators import fulltext, ivf
+from docketry.operators import fulltext, ivf, leaves
 from docketry.operators.embedding import IMAGE_SEED, IMAGE_WIDTH, TEXT_WIDTH, embed, embed_hashed
 from docketry.operators.knn import knn_exact
+from docketry.operators.knn_join import knn_join
 from docketry.operators.messages import count_attempts, dead_letter_split, document_messages
 from docketry.operators.paging import (
     assemble_documents,
@@ -26,7 +27,7 @@ from docketry.operators.paging import (
 from docketry.operators.sections import attach_sections, attach_sections_join, section_headers
 from docketry.plans import case_sections as cases
 from docketry.plans import product_catalog as catalog
-from docketry.session import new_folder, spread
+from docketry.session import materialise, new_folder, spread
 from docketry.sinks.catalog import replace_table
 from docketry.sinks.objects import write_objects
 from docketry.sources.envelopes import decode_envelopes
@@ -275,7 +276,7 @@ def q_knn_many(spark, sf_dir):
     """Every vector is a query."""
     table = load(spark, sf_dir, "embeddings")
     queries = table.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return _neighbours(knn_exact(queries, table, "vec_id", "embedding", NEIGHBOURS, exclude_self=True))
+    return _neighbours(knn_join(queries, table, "vec_id", "embedding", NEIGHBOURS, exclude_self=True))
 
 
 def q_ivf_assign(spark, sf_dir):
@@ -307,6 +308,24 @@ def q_ann_search(spark, sf_dir):
     )
 
 
+def q_ann_search_leaves(spark, sf_dir):
+    """Every fiftieth document as a query against all: hits, exact distances, and whether all queries together find nine tenths in a part of the rows."""
+    table = materialise(_documents(spark, sf_dir).select("doc_id", embed_hashed(F.col("text")).alias("v")), "vectors")
+    index = leaves.build_index(table, "doc_id", "v", TEXT_WIDTH, new_folder(spark, "leaves"), leaf_rows=16)
+    queries = materialise(table.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("vector")), "queries")
+    found = leaves.search_index(index, queries, NEIGHBOURS, nprobe=6, refine_factor=20)
+    found = found.join(queries, "qid").join(table.select(F.col("doc_id").alias("id"), "v"), "id")
+    exact = F.abs(F.col("distance") - cosine_distance(F.col("v"), F.col("vector"))) < 1e-6
+    true = knn_join(queries, table, "doc_id", "v", NEIGHBOURS).groupBy("qid").agg(F.max("distance").alias("last"))
+    # Copies of one text are equally near: a row as near as the tenth counts.
+    told = found.join(true, "qid").groupBy("qid").agg(F.count("*").alias("hits"), F.bool_and(exact).alias("exact"), F.count_if(F.col("distance") <= F.col("last")).alias("near"))
+    read = leaves.leaves_of(index, queries, 6, 6).groupBy("qid").agg(F.sum("n").alias("read"))
+    told = materialise(told.join(read, "qid"), "told")
+    sums = told.agg(F.sum("hits").alias("hits"), F.sum("near").alias("near"), F.avg("read").alias("read")).first()
+    recalled, pruned = sums.near >= 0.9 * sums.hits, sums.read <= 0.35 * table.count()
+    return told.select("qid", "hits", "exact", F.lit(recalled).alias("recalled"), F.lit(pruned).alias("pruned"))
+
+
 def q_fts_postings(spark, sf_dir):
     return fulltext.postings(_documents(spark, sf_dir), "doc_id", "text")
 
