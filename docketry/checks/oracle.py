@@ -348,6 +348,7 @@ SELECT name, octet_length(encode(body))::BIGINT AS size, md5(body) AS md5 FROM o
     "bm25_search": BM25,
     "stream_file_arrivals": "WITH" + FILE_PAGES + " SELECT DISTINCT file_path FROM file_pages",
     "stream_page_index": MESSAGES,
+    "stream_page_ranges": "WITH" + INDEX + " SELECT * FROM page_index",
     "stream_redelivery": MESSAGES,
     "custom_embeddings": r"""
 WITH counts AS (

@@ -38,6 +38,7 @@ from docketry.sources.tables import distinct_prefixes, read_table
 from docketry.sinks.files import write_pages
 from docketry.streaming.arrivals import Layout, arrived_files, file_events, redeliver, start_index_stream
 from docketry.streaming.convert import read_markdown, start_convert_stream
+from docketry.streaming.ranges import current_ranges, start_range_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -387,6 +388,16 @@ def q_stream_redelivery(spark, sf_dir):
     return spark.read.schema("key string, value string").option("recursiveFileLookup", "true").parquet(layout.messages)
 
 
+def q_stream_page_ranges(spark, sf_dir):
+    """Pages come in two lots, and every document's range is widened by the second."""
+    layout = Layout(new_folder(spark, "stream"))
+    pages = inputs.file_pages(spark, sf_dir).select("file_path", "page", "page_text")
+    for lot in (0, 1):
+        write_pages(pages.filter(F.col("page") % 2 == lot), layout.pages)
+        start_range_stream(spark, layout).awaitTermination()
+    return current_ranges(spark, layout)
+
+
 def q_stream_convert(spark, sf_dir):
     layout = inputs.install_stream(spark, sf_dir)
     start_index_stream(spark, layout, max_files=2).awaitTermination()
