@@ -346,6 +346,8 @@ SELECT name, octet_length(encode(body))::BIGINT AS size, md5(body) AS md5 FROM o
     "fts_lengths": r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS length FROM documents",
     "bm25_scan": BM25,
     "bm25_search": BM25,
+    "bm25_blocks": BM25,
+    "fts_block_postings": "WITH" + POSTINGS + " SELECT * FROM postings",
     "stream_file_arrivals": "WITH" + FILE_PAGES + " SELECT DISTINCT file_path FROM file_pages",
     "stream_page_index": MESSAGES,
     "stream_page_ranges": "WITH" + INDEX + " SELECT * FROM page_index",

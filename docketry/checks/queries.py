@@ -11,7 +11,7 @@ from docketry.checks import inputs
 from docketry.checks.inputs import load
 from docketry.functions.paths import last_segment, stem, uri_bucket, uri_path
 from docketry.functions.vectors import cosine_distance, has_width, norm, unit
-from docketry.operators import fulltext, ivf, leaves
+from docketry.operators import fulltext, ivf, leaves, postings
 from docketry.operators.embedding import IMAGE_SEED, IMAGE_WIDTH, TEXT_WIDTH, embed, embed_hashed
 from docketry.operators.knn import knn_exact
 from docketry.operators.knn_join import knn_join
@@ -309,21 +309,25 @@ def q_ann_search(spark, sf_dir):
     )
 
 
+PROBES = 5
+
+
 def q_ann_search_leaves(spark, sf_dir):
     """Every fiftieth document as a query against all: hits, exact distances, and whether all queries together find nine tenths in a part of the rows."""
     table = materialise(_documents(spark, sf_dir).select("doc_id", embed_hashed(F.col("text")).alias("v")), "vectors")
-    index = leaves.build_index(table, "doc_id", "v", TEXT_WIDTH, new_folder(spark, "leaves"), leaf_rows=16)
+    n = table.count()
+    index = leaves.build_index(table, "doc_id", "v", TEXT_WIDTH, new_folder(spark, "leaves"), leaf_rows=max(16, int(0.75 * n ** 0.5)))
     queries = materialise(table.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("vector")), "queries")
-    found = leaves.search_index(index, queries, NEIGHBOURS, nprobe=6, refine_factor=20)
+    found = leaves.search_index(index, queries, NEIGHBOURS, nprobe=PROBES, refine_factor=100)
     found = found.join(queries, "qid").join(table.select(F.col("doc_id").alias("id"), "v"), "id")
     exact = F.abs(F.col("distance") - cosine_distance(F.col("v"), F.col("vector"))) < 1e-6
     true = knn_join(queries, table, "doc_id", "v", NEIGHBOURS).groupBy("qid").agg(F.max("distance").alias("last"))
     # Copies of one text are equally near: a row as near as the tenth counts.
     told = found.join(true, "qid").groupBy("qid").agg(F.count("*").alias("hits"), F.bool_and(exact).alias("exact"), F.count_if(F.col("distance") <= F.col("last")).alias("near"))
-    read = leaves.leaves_of(index, queries, 6, 6).groupBy("qid").agg(F.sum("n").alias("read"))
+    read = leaves.leaves_of(index, queries, PROBES, PROBES).groupBy("qid").agg(F.sum("n").alias("read"))
     told = materialise(told.join(read, "qid"), "told")
     sums = told.agg(F.sum("hits").alias("hits"), F.sum("near").alias("near"), F.avg("read").alias("read")).first()
-    recalled, pruned = sums.near >= 0.9 * sums.hits, sums.read <= 0.35 * table.count()
+    recalled, pruned = sums.near >= 0.9 * sums.hits, sums.read <= 0.4 * n
     return told.select("qid", "hits", "exact", F.lit(recalled).alias("recalled"), F.lit(pruned).alias("pruned"))
 
 
@@ -352,6 +356,18 @@ def q_bm25_search(spark, sf_dir):
     return _hits(fulltext.search_index(index, SEARCHES, NEIGHBOURS))
 
 
+def _blocks(spark, sf_dir) -> postings.BlockIndex:
+    return postings.build_index(_documents(spark, sf_dir), "doc_id", "text", new_folder(spark, "blocks"))
+
+
+def q_fts_block_postings(spark, sf_dir):
+    return _blocks(spark, sf_dir).postings()
+
+
+def q_bm25_blocks(spark, sf_dir):
+    return _hits(postings.search_index(_blocks(spark, sf_dir), SEARCHES, NEIGHBOURS))
+
+
 def q_stream_file_arrivals(spark, sf_dir):
     layout = inputs.install_stream(spark, sf_dir)
     files, _ = arrived_files(file_events(spark, layout.arrivals, max_files=2))
