@@ -1,7 +1,7 @@
 import corpus_pipeline
 from docketry.llm import toxicity
 from llm_data import LONG, odd_documents
-from test_near_dedup import brute as near_brute
+from test_near_dedup_rule import brute as near_brute
 from test_decontaminate import brute as bench_brute
 from test_personal_data import brute as data_brute
 from test_tokens import check_pieces
@@ -29,7 +29,7 @@ def test_stages_equal_brute_force(spark, sf, tmp_path):
     passed = toxicity.score_documents(docs, model).where("predicted = 0").select("doc_id").collect()
     assert sorted(i for i, _ in texts(steps[0][1])) == sorted(r.doc_id for r in passed)
 
-    groups = near_brute(texts(steps[1][0]))
+    groups = near_brute(texts(steps[1][0]), 5, 100, 80)
     assert sorted(i for i, _ in texts(steps[1][1])) == sorted(i for i, g in groups.items() if g[2])
 
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
