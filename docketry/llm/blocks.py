@@ -6,6 +6,7 @@ word windows are arrays over that buffer, so no step works word by word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -88,6 +89,15 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
         to = min(max(to, at + 1), len(column))
         yield Block(raw[ends[at]:ends[to]], ends[at:to + 1] - ends[at], at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: a worker goes on to other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 @dataclass

@@ -26,9 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketry.llm.blocks import ALPHANUMERIC, Words, blocks, map_rows, mix, windows, words
+from docketry.llm.blocks import ALPHANUMERIC, Words, blocks, map_rows, mix, release, windows, words
 from docketry.session import materialise
 
+# Features that are looked up at once.
+CHUNK = 1 << 20
 MAX_ROWS = 16_000
 SHARDS = 4
 # Share of the shards that must use a feature, and L1 per square root of a shard's rows.
@@ -76,14 +78,22 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(hashed[a:b])
 
 
+def coordinates(hashed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each hash among `keys`, from 1; 0 for others."""
+    if not len(keys):
+        return np.zeros(len(hashed), np.int32)
+    at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+    return np.where(keys[at] == hashed, at + 1, 0).astype(np.int32)
+
+
 def ftrl(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rates: tuple[float, float, float | None, float, int]) -> Model:
     """Weights of one shard, whose rows' features lie one after another: hashes, weights and bias."""
     alpha, beta, l1, l2, epochs = rates
     l1 = SPARSE * len(sizes) ** 0.5 if l1 is None else l1
-    keys, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    keys, seen = np.unique(flat, return_counts=True)
     # The gradient of one row in one epoch is below 1, so what occurs in few rows stays at zero under L1.
-    frequent = seen * epochs > l1
-    keys, index = keys[frequent], np.where(frequent, np.cumsum(frequent), 0).astype(np.int32)[index]
+    keys = keys[seen * epochs > l1]
+    index = np.concatenate([coordinates(flat[low:low + CHUNK], keys) for low in range(0, len(flat), CHUNK)] or [np.empty(0, np.int32)])
     ends = np.cumsum(sizes)
     # The bias is coordinate 0 and has no penalty.
     coded = [np.append(c[c > 0], 0) for c in (index[b - n:b] for b, n in zip(ends.tolist(), sizes.tolist()))]
@@ -131,6 +141,7 @@ def fit_shards(rows: DataFrame, rates: tuple, most: int) -> dict[int | None, flo
         table = table.take(pa.array(np.random.default_rng(7).permutation(len(table))))
         lists = table.column("features").combine_chunks()
         keys, weights, bias = ftrl(lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy(), table.column("label").to_numpy(), rates)
+        release()
         return pa.table({
             "feature": pa.array([None, *keys.view(np.int64).tolist()], pa.int64()),
             "weight": pa.array([bias, *weights.tolist()], pa.float64()),
