@@ -6,7 +6,6 @@ word windows are arrays over that buffer, so no step works word by word.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docketry.functions.process import per_process
+from docketry.functions.process import per_process, release
 
 # Bytes of text in a block. One text may be longer; it is then a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -92,14 +91,6 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
     release()
 
 
-def release() -> None:
-    """Give memory that is no longer used back to the system: a worker goes on to other tasks and stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 @dataclass
 class Words:
     """Words of a block: byte range, row within the block, and a 64-bit hash each."""

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window, functions as F, types as T
 
 from docketry.functions.given import given
+from docketry.functions.pieces import pieces
 from docketry.functions.text import tokens
 from docketry.session import materialise
 from docketry.sinks.versions import new_version, publish, published
@@ -45,19 +46,21 @@ COUNTED = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.Str
 
 
 def _counted(column: str) -> Column:
-    """Distinct words of each row and how often each occurs; a batch's words are numbered and counted at once."""
+    """Distinct words of each row and how often each occurs; the words of a piece of a batch are numbered and counted at once."""
+
+    def counted(words: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        pairs, counts = np.unique(rows * size + coded.indices.to_numpy(), return_counts=True)
+        row, code = np.divmod(pairs, size)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))]).astype(np.int32)
+        terms = coded.dictionary.take(pa.array(code))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([terms, pa.array(counts.astype(np.int64))], ["term", "tf"]))
 
     @F.arrow_udf(COUNTED)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for words in batches:
-            rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
-            coded = words.flatten().dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            pairs, counts = np.unique(rows * size + coded.indices.to_numpy(), return_counts=True)
-            row, code = np.divmod(pairs, size)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))]).astype(np.int32)
-            terms = coded.dictionary.take(pa.array(code))
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([terms, pa.array(counts.astype(np.int64))], ["term", "tf"]))
+        return map(counted, pieces(batches))
 
     return count(column)
 
