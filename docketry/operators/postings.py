@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from docketry.functions.pieces import cuts
+from docketry.functions.process import release
 from docketry.operators.fulltext import B, K1, TERM_BUCKETS, _counted, _idf, _ranked, _term_bucket, _weight, _words, query_terms
 from docketry.session import materialise
 from docketry.sinks.versions import new_version, publish, published
@@ -38,25 +40,79 @@ TERMS = "term string, df long, best float"
 WIDTHS = ("<u1", "<u2", "<u4", "<u8")
 
 
-def packed(values: np.ndarray) -> tuple[int, bytes]:
-    """Whole numbers in the least width that holds them, and which width that is."""
-    most = int(values.max(initial=0))
-    width = next(i for i, bits in enumerate((8, 16, 32, 64)) if most < 1 << bits)
-    return width, values.astype(WIDTHS[width]).tobytes()
+def width_codes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each block the least of `WIDTHS` that holds its values."""
+    most = np.maximum.reduceat(values, starts)
+    return ((most >= 1 << 8).astype(np.int64) + (most >= 1 << 16) + (most >= 1 << 32)).astype(np.uint8)
+
+
+def places(codes: np.ndarray, n: np.ndarray, heads: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Where the bytes of each gap, count and length lie, and of which block each is.
+
+    `codes` has three widths a block, `n` its postings and `heads` where it starts; a block has one gap less than postings.
+    """
+    at, found, blocks = heads + 3, [], []
+    for part, size in enumerate((n - 1, n, n)):
+        block = np.repeat(np.arange(len(n)), size)
+        width = 1 << codes[part].astype(np.int64)
+        found.append(at[block] + (np.arange(len(block)) - (np.cumsum(size) - size)[block]) * width[block])
+        blocks.append(block)
+        at = at + size * width
+    return found, blocks
+
+
+def pack_blocks(numbers: np.ndarray, counts: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The packed bytes of blocks that begin at `starts`, the first at 0; all blocks at once."""
+    n = np.diff(np.r_[starts, len(numbers)])
+    gaps = np.diff(numbers, prepend=numbers[:1])
+    gaps[starts] = 0
+    codes = np.stack([width_codes(values, starts) for values in (gaps, counts, lengths)])
+    widths = 1 << codes.astype(np.int64)
+    ends = np.cumsum(3 + (n - 1) * widths[0] + n * widths[1] + n * widths[2])
+    heads = np.r_[0, ends[:-1]]
+    out = np.empty(ends[-1], np.uint8)
+    rest = np.ones(len(gaps), bool)
+    rest[starts] = False
+    at, blocks = places(codes, n, heads)
+    for part, values in enumerate((gaps[rest], counts, lengths)):
+        out[heads + part] = codes[part]
+        own = codes[part][blocks[part]]
+        for code in np.unique(own):
+            held = own == code
+            body = values[held].astype(WIDTHS[code]).view(np.uint8).reshape(-1, 1 << code)
+            out[at[part][held][:, None] + np.arange(1 << code)] = body
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpack_blocks(packed: pa.Array, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Numbers, counts and lengths of all blocks, one block after another."""
+    packed = packed.cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    heads = np.frombuffer(offsets, np.int64, len(packed), packed.offset * 8)
+    raw, n = np.frombuffer(data, np.uint8), n.astype(np.int64)
+    codes = np.stack([raw[heads + part] for part in range(3)])
+    at, blocks = places(codes, n, heads)
+    parts = []
+    for part in range(3):
+        own, values = codes[part][blocks[part]], np.empty(len(blocks[part]), np.int64)
+        for code in np.unique(own):
+            held = own == code
+            values[held] = raw[at[part][held][:, None] + np.arange(1 << code)].view(WIDTHS[code]).ravel()
+        parts.append(values)
+    starts, gaps = np.cumsum(n) - n, np.zeros(len(parts[1]), np.int64)
+    rest = np.ones(len(gaps), bool)
+    rest[starts] = False
+    gaps[rest] = parts[0]
+    total = np.cumsum(gaps)
+    return [np.repeat(first - total[starts], n) + total, *parts[1:]]
 
 
 def pack(numbers: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> bytes:
-    parts = [packed(np.diff(numbers)), packed(counts), packed(lengths)]
-    return bytes(width for width, _ in parts) + b"".join(body for _, body in parts)
+    return pack_blocks(numbers, counts, lengths, np.zeros(1, np.int64))[0].as_py()
 
 
 def unpack(raw: bytes, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, out = 3, []
-    for width, size in zip(raw[:3], (n - 1, n, n)):
-        kind = np.dtype(WIDTHS[width])
-        out.append(np.frombuffer(raw, kind, size, at).astype(np.int64))
-        at += size * kind.itemsize
-    return np.concatenate([[first], first + np.cumsum(out[0])]), out[1], out[2]
+    return tuple(unpack_blocks(pa.array([raw]), np.array([first]), np.array([n])))
 
 
 @dataclass
@@ -96,16 +152,19 @@ class BlockIndex:
 def unpacked(blocks: DataFrame, read: Accumulator | None = None) -> DataFrame:
     """`(term, number, tf, length)` of all postings of some blocks; `read` adds up how many these are."""
 
+    def postings_of(blocks: pa.RecordBatch) -> pa.RecordBatch:
+        n = blocks.column("n").to_numpy()
+        parts = unpack_blocks(blocks.column("packed"), blocks.column("first").to_numpy(), n)
+        if read is not None:
+            read.add(len(parts[0]))
+        term = blocks.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        return pa.RecordBatch.from_arrays([term, *map(pa.array, parts)], names=["term", "number", "tf", "length"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*[batch.column(c).to_pylist() for c in ("packed", "first", "n")]))
-            if not rows:
-                continue
-            parts = [np.concatenate(c) for c in zip(*[unpack(*r) for r in rows])]
-            if read is not None:
-                read.add(len(parts[0]))
-            term = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [r[2] for r in rows])))
-            yield pa.RecordBatch.from_arrays([term, *map(pa.array, parts)], names=["term", "number", "tf", "length"])
+            for at, to in cuts(batch.column("n").to_numpy()):
+                yield postings_of(batch.slice(at, to - at))
+            release()
 
     return blocks.select("term", "packed", "first", "n").mapInArrow(work, "term string, number long, tf long, length long")
 
@@ -126,9 +185,9 @@ def in_blocks(rows: DataFrame, avg_length: float, term_buckets: int, block: int
             ends = np.r_[starts[1:], len(codes)]
             # Rounded up, so that the bound holds.
             best = np.nextafter(np.maximum.reduceat(weight, starts).astype(np.float32), np.float32(np.inf))
-            bodies = [pack(number[a:b], tf[a:b], length[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            bodies = pack_blocks(number, tf, length, starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(starts)), pa.array(number[starts]), pa.array(number[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(best), pa.array(bodies, pa.binary()), batch.column(4).take(pa.array(starts))],
+                [batch.column(0).take(pa.array(starts)), pa.array(number[starts]), pa.array(number[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(best), bodies, batch.column(4).take(pa.array(starts))],
                 names=["term", "first", "last", "n", "best", "packed", "term_bucket"])
 
     order = ("term_bucket", "term", "number")
