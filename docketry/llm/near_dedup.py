@@ -49,8 +49,6 @@ TREES = 12
 MISS = 1e-9
 NODE_LIMIT = 2048
 DEPTH = 24
-# Levels that further trees may reach beyond the first ones before their number is raised again.
-SPARE = 2
 # How far below the threshold the share of agreeing coordinates may lie for a pair to be checked, in deviations.
 DEVIATIONS = 4
 # Bytes of sets that a node may bring to a task; the pairs of a heavier one are written out.
@@ -387,15 +385,20 @@ def confirm(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def link_to_pivots(members: DataFrame, sets: DataFrame, classes: DataFrame, least: int, limit: int, node_bytes: int, part: int, whole: int) -> DataFrame:
-    """Links (`a`, `b`) of members (`node`, `rep`) of large nodes with some of their node, enough to join what they join.
+def in_slices(first: DataFrame, limit: int, node_bytes: int) -> DataFrame:
+    """Members (`node`, `rep`, `sketch`) of large nodes, with the members `n` of their node and the `slices` it is dealt out in."""
+    sizes = first.groupBy("node").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes")).where(F.col("n") > limit)
+    slices = F.greatest(F.ceil(F.col("n") / limit), F.ceil(8 * F.col("bytes") / node_bytes)).cast("int")
+    large = materialise(sizes.select("node", "n", slices.alias("slices")), "large")
+    return materialise(first.drop("n_shingles").join(large, "node"), "in_large")
 
-    A node is dealt out in slices of bounded size, and its pivots go to each of them.
+
+def link_to_pivots(members: DataFrame, sets: DataFrame, least: int, part: int, whole: int) -> DataFrame:
+    """Links (`a`, `b`) of members of large nodes (as `in_slices` has them) with some of their node, enough to join what they join.
+
+    A node is dealt out in slices of bounded size, and its pivots go to each of them. Of what a slice joins, all hang on the least.
     """
-    sized = members.join(classes.select("rep", "sketch", "n_shingles"), "rep")
-    totals = sized.groupBy("node").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
-    totals = totals.withColumn("slices", F.greatest(F.ceil(F.col("n") / limit), F.ceil(8 * F.col("bytes") / node_bytes)).cast("int"))
-    known = sized.join(totals, "node").drop("n_shingles").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    known = members.withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
     # The same classes are pivots of nodes of like size.
     chance = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 40)) / (1 << 40)
     pivots = known.where(chance < PIVOTS / F.col("n")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -407,7 +410,7 @@ def link_to_pivots(members: DataFrame, sets: DataFrame, classes: DataFrame, leas
             rep = table.column("rep").to_numpy()
             a, b, agree = likely_pairs(table.column("node").to_numpy(), sketch_matrix(table.column("sketch")), table.column("label").to_numpy(), least)
             sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
-            heads, links = {}, []
+            heads: dict[int, int] = {}
 
             def top(x: int) -> int:
                 while (up := heads.get(x, x)) != x:
@@ -418,8 +421,8 @@ def link_to_pivots(members: DataFrame, sets: DataFrame, classes: DataFrame, leas
                 i, j = int(a[k]), int(b[k])
                 x, y = top(int(rep[i])), top(int(rep[j]))
                 if x != y and linked(sets[i], sets[j], part, whole):
-                    heads[x] = y
-                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    heads[max(x, y)] = min(x, y)
+            links = [(top(x), x) for x in heads]
             low, high = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
@@ -441,6 +444,24 @@ def branch(members: DataFrame, classes: DataFrame, twice: int) -> DataFrame:
     return known.mapInArrow(grow, "node long, rep long, label long")
 
 
+def plant(wanted: DataFrame, classes: DataFrame, twice: int, turn: int) -> DataFrame:
+    """The first nodes (`node`, `rep`, `label`) in further trees: `more` of them for each class; another `turn` has other trees."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                sketches, more = sketch_matrix(batch.column("sketch")), batch.column("more").to_numpy()
+                for tree in range(int(more.max())):
+                    some = np.flatnonzero(more > tree)
+                    root = mix(np.array([(turn << 32) + tree], np.uint64))
+                    nodes, member = child_nodes(np.repeat(root, len(some)), sketches[some], twice)
+                    same = [batch.column(c).take(pa.array(some[member])) for c in ("rep", "label")]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *same], ["node", "rep", "label"])
+
+    known = wanted.select("rep", "more").join(classes.select("rep", "label", "sketch"), "rep").select("rep", "label", "sketch", "more")
+    return known.mapInArrow(grow, "node long, rep long, label long")
+
+
 def block_pairs(members: DataFrame, limit: int) -> DataFrame:
     """Members of nodes that stay large, as bounded nodes: every block of a node with every other."""
     half = max(1, limit // 4)
@@ -451,9 +472,9 @@ def block_pairs(members: DataFrame, limit: int) -> DataFrame:
     return met.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
-def label_blocks(members: DataFrame, mains: DataFrame, limit: int) -> DataFrame:
-    """Members of large nodes of one main label, as bounded nodes: each block of its members with all members of other labels."""
-    cut = members.join(mains, "node").withColumn("blocks", F.ceil((F.col("n") - F.col("others")) / max(1, limit // 2)).cast("int"))
+def label_blocks(members: DataFrame, limit: int) -> DataFrame:
+    """Members of large nodes of one `main` label, as bounded nodes: each block of its members with all members of other labels."""
+    cut = members.withColumn("blocks", F.ceil((F.col("n") - F.col("others")) / max(1, limit // 2)).cast("int"))
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = cut.withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(every)))
@@ -480,23 +501,25 @@ def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, tw
     """Members (`node`, `rep`, `place`) of all nodes that are compared, and the level (`rep`, `level`) that members of large nodes branch to."""
     done, deep = [], []
     for at in range(depth + 1):
-        # A node of one label has nothing left to find.
+        # A node of one label has nothing left to find. Members meet their node's size once, and those of large nodes its labels.
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("several")).where("several").drop("several")
-        sizes = materialise(sizes, "node_sizes")
-        done.append(level.join(sizes.where(F.col("n") <= limit).select("node"), "node").select("node", "rep", "place"))
-        large = materialise(sizes.where(F.col("n") > limit), "large")
-        if large.isEmpty():
-            break
-        members = materialise(level.join(large, "node"), "in_large")
+        sized = materialise(level.join(sizes, "node"), "sized")
+        done.append(sized.where(F.col("n") <= limit).select("node", "rep", "place"))
+        members = sized.where(F.col("n") > limit)
         mains = members.groupBy("node", "label").agg(F.count("*").alias("of_label"), F.first("n").alias("n"))
         mains = mains.groupBy("node").agg(F.max(F.struct("of_label", "label")).alias("main"), F.first("n").alias("n"))
-        mains = materialise(mains.select("node", F.col("main.label").alias("main"), (F.col("n") - F.col("main.of_label")).alias("others")), "mains")
-        tight = F.col("others") <= limit // 2
-        done.append(label_blocks(members, mains.where(tight), limit))
-        many = mains.where(~tight).select("node")
-        if many.isEmpty():
+        others = F.col("n") - F.col("main.of_label")
+        mains = materialise(mains.select("node", F.col("main.label").alias("main"), others.alias("others"), (others <= limit // 2).alias("tight")), "mains")
+        kinds = {r.tight for r in mains.select("tight").distinct().collect()}
+        if not kinds:
+            break
+        if True in kinds:
+            members = materialise(members.join(mains, "node"), "in_large")
+            done.append(label_blocks(members.where("tight"), limit))
+        if False not in kinds:
             break
-        members = members.join(many, "node")
+        if True in kinds:
+            members = members.where("NOT tight")
         deep.append(members.select("rep").distinct().withColumn("level", F.lit(min(at + 1, depth))))
         level = block_pairs(members, limit) if at == depth else branch(members, classes, twice)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
@@ -509,28 +532,28 @@ def small_nodes(classes: DataFrame, limit: int, depth: int, part: int, whole: in
     """Members (`node`, `rep`) of all nodes that are compared, with `place` among the first choices or null.
 
     Two classes share as many trees as the lesser of their depths asks for. A round of further trees is for all classes
-    that want more than the least that a class had before it was raised, so any two of them meet in the whole round.
+    that want more than the least that a class had before it was raised. All of these share that many already, so each takes
+    the trees beyond it, and any two of them meet in those that both want.
     """
     twice, enough = branching(part, whole), trees_by_depth(part, whole, depth, trees)
     out, deep = grow_levels(classes.select("rep", "label", F.posexplode("nodes").alias("place", "node")), classes, limit, depth, twice)
     had, turn = None, 0
     while deep is not None:
-        deepest = deep.groupBy("rep").agg(F.least(F.max("level") + SPARE, F.lit(depth)).alias("spared"), F.max("level").alias("level"))
-        asked = F.array(*[F.lit(n) for n in enough])
-        wanted = deepest.select("rep", "level", asked[F.col("level")].alias("need"), asked[F.col("spared")].alias("take"))
+        deepest = deep.groupBy("rep").agg(F.max("level").alias("level"))
+        wanted = deepest.select("rep", "level", F.array(*[F.lit(n) for n in enough])[F.col("level")].alias("need"))
         wanted = wanted.withColumn("had", F.lit(trees)) if had is None else wanted.join(had, "rep", "left").fillna(trees, ["had"])
         wanted = materialise(wanted, "wanted")
         least = wanted.where("need > had").agg(F.min("had")).first()[0]
         if least is None:
             break
         turn += 1
-        joins = (F.col("take") > least) & (F.greatest("need", "had") > least)
-        more = wanted.where(joins).select("rep", F.explode(F.sequence(F.lit(1), F.greatest("take", "had") - trees)).alias("tree"))
-        roots = more.select(F.xxhash64(F.lit("tree"), F.lit(turn), "tree").alias("node"), "rep")
-        level = materialise(branch(roots, classes, twice).withColumn("place", F.lit(None).cast("int")), "level")
+        # Trees cost a row each, so no more are taken than the depth that is reached asks for.
+        has = F.greatest("need", "had")
+        level = plant(wanted.where(has > least).select("rep", (has - least).alias("more")), classes, twice, turn)
+        level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
         found, deeper = grow_levels(level, classes, limit, depth, twice)
         out = out.unionByName(found)
-        had = wanted.select("rep", F.when(joins, F.greatest("take", "had")).otherwise(F.col("had")).alias("had"))
+        had = wanted.select("rep", has.alias("had"))
         if deeper is None:
             break
         deep = wanted.select("rep", "level").unionByName(deeper)
@@ -565,12 +588,11 @@ def judged(
     classes = classes.select("key", class_name(F.col("m.doc_id"), F.col("key")).alias("rep"), "m.doc_id", "m.sketch", "m.nodes", "m.n_shingles")
     classes = materialise(classes, "classes")
     labels = None
-    first = classes.select("rep", F.posexplode("nodes").alias("place", "node")).where(F.col("place") < PIVOT_PLACES).drop("place")
-    large = materialise(first.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node_limit).select("node"), "large")
+    first = classes.select("rep", "sketch", "n_shingles", F.posexplode("nodes").alias("place", "node")).where(F.col("place") < PIVOT_PLACES).drop("place")
+    large = in_slices(first, node_limit, node_bytes)
     if not large.isEmpty():
-        first = materialise(first.join(large, "node"), "in_large")
-        sets = materialise(sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(first.select("rep").distinct(), "rep", "left_semi"), shingle), "sets")
-        labels = joined(None, link_to_pivots(first, sets, classes, least, node_limit, node_bytes, part, whole))
+        sets = materialise(sets_of(documents, classes.select("rep", F.col("doc_id").alias("id")).join(large.select("rep").distinct(), "rep", "left_semi"), shingle), "sets")
+        labels = joined(None, link_to_pivots(large, sets, least, part, whole))
         classes = classes.join(labels, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
         classes = materialise(classes, "classes")
     else:
