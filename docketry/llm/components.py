@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from docketry.session import materialise
 
 MAX_ROUNDS = 60
+# Edges whose minima (a row for each id) travel with the tasks; those of more are joined like any table.
+MAX_BROADCAST_EDGES = 1 << 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,17 +17,22 @@ def components(edges: DataFrame) -> DataFrame:
     A large star hangs every larger neighbour of an id on the smallest neighbour, a small star the
     smaller ones. Both are a minimum by key and a join, so a centre with many neighbours is
     pre-aggregated and its join side may be split. Rounds write to the shared folder and end when all edges are stars.
+    Of few edges only the minima are shuffled, not the edges.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "edges")
+    n = edges.count()
+    small = F.broadcast if n <= MAX_BROADCAST_EDGES else lambda rows: rows
     for _ in range(MAX_ROUNDS):
+        if n == 0:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+        hung = large.join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        hung = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialise(hung, "edges")
         # Whoever hangs on an id hangs on one, and nothing hangs on it.
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
         ends = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
@@ -45,10 +52,9 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         label = labels.select(F.col("id").alias(end), F.col("component").alias("label"))
         links = links.join(label, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
-    links = materialise(links.where("a <> b").distinct(), "links")
-    if links.isEmpty():
+    moved = materialise(components(links.where("a <> b")), "moved")
+    if moved.isEmpty():
         return labels
-    moved = materialise(components(links), "moved")
     after = labels.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
     after = after.select("id", F.coalesce("to", "component").alias("component"))
     return materialise(after.unionByName(moved.join(labels.select("id"), "id", "left_anti").select("id", "component")), "components")
