@@ -15,8 +15,10 @@ few of each class, then all of them, which are checked inside the node and never
 costs n rows and not n * n, and no link between groups is lost.
 
 The members of a large node are first compared with a few pivots of it, in slices and on full sets, and get the label of what they are linked with. A
-large node of one label is done. One with a main label and few others is cut into blocks of the main label's members, each with all the others; only nodes of
-many labels branch. Nodes that branch to the last level and are still large are cut into blocks, and every block meets every other block, in bounded tasks.
+large node of one label is done. One with a main label and few others is cut into blocks of the main label's members, each with all the others. One of
+many labels and at most `WIDE_LIMIT` classes is compared in one task by bands of coordinates: two sketches that agree where they must have a band in
+common, so only members that share one are held against each other, and no pair is lost. Only nodes of still more members
+branch. Nodes that branch to the last level and are still large are cut into blocks, and every block meets every other block, in bounded tasks.
 
 Edge cases: null, empty and wordless texts have no set, are linked with nothing and kept; a text of
 fewer words than a shingle is one shingle; rows with a null id are kept, with a null component; rows that
@@ -29,14 +31,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketry.llm.blocks import NOT_SPACE, Words, blocks, mix, windows, words
+from docketry.llm.blocks import NOT_SPACE, Words, blocks, mix, ranges, release, windows, words
 from docketry.llm.components import joined
 from docketry.session import materialise
 
@@ -48,6 +50,8 @@ TREES = 12
 # The chance at which a pair at the threshold may meet nowhere; a lower threshold takes more trees.
 MISS = 1e-9
 NODE_LIMIT = 2048
+# Members of many labels that one task compares, by bands of coordinates: 13 MB or so of sketches and first nodes. Nodes of more branch.
+WIDE_LIMIT = 65_536
 DEPTH = 24
 # How far below the threshold the share of agreeing coordinates may lie for a pair to be checked, in deviations.
 DEVIATIONS = 4
@@ -58,6 +62,9 @@ BEST = 8
 PIVOTS = 32
 PIVOT_PLACES = 3
 FILTER_BITS = 1 << 24
+# Pairs of a node that are held against each other at once, and rows of a node from which on its pairs are found by bands.
+PAIRS = 1 << 17
+BANDED = 2048
 ROOT_BITS = (1 << 31) - 1
 
 SIGNED = "doc_id long, said long, n_shingles long, key binary, sketch binary, nodes array<long>"
@@ -205,11 +212,10 @@ def sketch_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def likely_pairs(node: np.ndarray, sketches: np.ndarray, label: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one node whose sketches agree at `least` coordinates; with labels, only across labels."""
+def by_gaps(node: np.ndarray, sketches: np.ndarray, label: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The likely pairs of small nodes: rows are held against the next, the one after it and so on."""
     size = np.bincount(np.unique(node, return_inverse=True)[1])
     size = np.repeat(size, size)  # rows are sorted by node
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
     rows = np.arange(len(node))
     for gap in range(1, int(size.max(initial=1))):
         rows = rows[(rows + gap < len(node))]
@@ -223,10 +229,86 @@ def likely_pairs(node: np.ndarray, sketches: np.ndarray, label: np.ndarray | Non
         agree = (sketches[some] == sketches[some + gap]).sum(axis=1)
         some, agree = some[agree >= least], agree[agree >= least]
         if len(some):
-            found.append((some, some + gap, agree))
+            yield some, some + gap, agree
+
+
+def across(sketches: np.ndarray, label: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of a band of coordinates and their label, and for each where the other labels of its band begin and how many rows these have."""
+    n, key = len(sketches), np.zeros(len(sketches), np.uint64)
+    for c in range(low, high):
+        key = (key << np.uint64(8) if high - low <= 8 else mix(key)) ^ sketches[:, c]
+    order = np.lexsort((label, key))
+    key, own = key[order], label[order]
+    run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+    begins = np.repeat(np.r_[run[1:], n], np.diff(np.r_[run, n]))
+    return order, begins, np.searchsorted(key, key, "right") - begins
+
+
+def by_bands(sketches: np.ndarray, label: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The likely pairs of one node of many rows.
+
+    Two sketches that agree at `least` coordinates differ at too few to differ in each of the bands, so rows are held against those that
+    share a band and have another label. A pair is told by the first band it shares. Where most share many bands, all rows are one band.
+    """
+    n, coordinates = sketches.shape
+    number = coordinates - least + 1
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    edges = np.linspace(0, coordinates, number + 1).astype(np.int64)
+    bands = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    if sum(int(across(sketches, label, *band)[2].sum()) for band in bands) > int(across(sketches, label, 0, 0)[2].sum()):
+        bands = [(0, 0)]
+    for band, (low, high) in enumerate(bands):
+        order, begins, left = across(sketches, label, low, high)
+        row, at, total = 0, 0, np.cumsum(left)
+        while row < n:
+            # Some rows with all of their pairs, or a share of the pairs of one row.
+            to = int(np.searchsorted(total, (total[row - 1] if row else 0) + PAIRS, "right")) if not at else row
+            if to > row:
+                a, b = np.repeat(np.arange(row, to), left[row:to]), ranges(begins[row:to], left[row:to])
+                row = to
+            else:
+                b = np.arange(begins[row] + at, begins[row] + min(at + PAIRS, left[row]))
+                a, at = np.full(len(b), row), at + len(b)
+                if at >= left[row]:
+                    row, at = row + 1, 0
+            a, b = order[a], order[b]
+            quick = (sketches[a, :32] == sketches[b, :32]).sum(axis=1)
+            some = quick >= least * 32 // coordinates - 8
+            a, b = a[some], b[some]
+            same = sketches[a] == sketches[b]
+            agree = same.sum(axis=1)
+            some = agree >= least
+            a, b, same, agree = a[some], b[some], same[some], agree[some]
+            if band and len(a):
+                fresh = ~np.logical_and.reduceat(same[:, :low], edges[:band], axis=1).any(axis=1)
+                a, b, agree = a[fresh], b[fresh], agree[fresh]
+            if len(a):
+                yield np.minimum(a, b), np.maximum(a, b), agree
+
+
+def likely_chunks(node: np.ndarray, sketches: np.ndarray, label: np.ndarray | None, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one node whose sketches agree at `least` coordinates, in parts; with labels, only across labels. Rows are sorted by node."""
+    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(node)])
+    # Nodes between two wide ones are taken together.
+    cuts = np.unique(np.concatenate([[0, len(node)], *([s, s + n] for s, n in zip(starts.tolist(), sizes.tolist()) if n > BANDED)])).astype(np.int64)
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        wide = node[low] == node[high - 1] and high - low > BANDED
+        own = None if label is None else label[low:high]
+        for a, b, agree in by_bands(sketches[low:high], own, least) if wide else by_gaps(node[low:high], sketches[low:high], own, least):
+            yield a + low, b + low, agree
+
+
+def together(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)), *parts]
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def likely_pairs(node: np.ndarray, sketches: np.ndarray, label: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All parts of `likely_chunks`."""
+    return together(likely_chunks(node, sketches, label, least))
+
+
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining the pairs: the least label of each component."""
     while True:
@@ -277,16 +359,39 @@ def weighed_here(node: np.ndarray, roots: np.ndarray, a: np.ndarray, b: np.ndarr
     return np.where(is_root, first == own, ~common.any(axis=1))
 
 
-def node_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The likely pairs across labels of whole nodes that belong to them: row numbers and agreeing coordinates."""
+def node_chunks(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The likely pairs across labels of whole nodes that belong to them, in parts: row numbers and agreeing coordinates."""
     node = table.column("node").to_numpy()
-    a, b, agree = likely_pairs(node, sketch_matrix(table.column("sketch")), table.column("label").to_numpy(), least)
-    here = weighed_here(node, np.array(table.column("roots").to_pylist(), np.int32).reshape(len(node), -1), a, b)
-    return a[here], b[here], agree[here]
+    roots = table.column("roots").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    for a, b, agree in likely_chunks(node, sketch_matrix(table.column("sketch")), table.column("label").to_numpy(), least):
+        here = weighed_here(node, roots, a, b)
+        yield a[here], b[here], agree[here]
+
+
+def chosen_pairs(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that `choose` keeps of all, and which of the `n` rows have others: what it drops of some pairs it drops of all of them."""
+    kept, waiting, more = together(iter(())), [], np.zeros(n, bool)
+
+    def settle() -> None:
+        nonlocal kept
+        kept = together([kept, *waiting])
+        waiting.clear()
+        chosen = choose(*kept)
+        dropped = np.ones(len(kept[0]), bool)
+        dropped[chosen] = False
+        more[kept[0][dropped]] = more[kept[1][dropped]] = True
+        kept = tuple(c[chosen] for c in kept)
+
+    for part in parts:
+        waiting.append(part)
+        if sum(len(a) for a, _, _ in waiting) >= max(PAIRS, len(kept[0])):
+            settle()
+    settle()
+    return kept[0], kept[1], np.flatnonzero(more)
 
 
 def propose(members: DataFrame, least: int, how: str) -> DataFrame:
-    """Pairs to check (`a`, `b`) from members (`node`, `rep`, `sketch`, `roots`, `label`) of small nodes.
+    """Pairs to check (`a`, `b`) from members (`node`, `rep`, `sketch`, `roots`, `label`) of nodes.
 
     All pairs are across labels. `forest`: a spanning forest of the labels; `best`: the best few of each class; `all`: all.
     A row without `b` says that the class `a` has more pairs in the node.
@@ -294,23 +399,22 @@ def propose(members: DataFrame, least: int, how: str) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
-            node, rep = table.column("node").to_numpy(), table.column("rep").to_numpy()
-            a, b, agree = node_pairs(table, least)
+            node, rep, n = table.column("node").to_numpy(), table.column("rep").to_numpy(), len(table)
             if how == "forest":
                 # Nodes have labels of their own here: a label in two nodes is linked in each.
                 of_node = np.unique(np.stack([node, table.column("label").to_numpy()], axis=1), axis=0, return_inverse=True)[1].ravel()
-                chosen = spanning_forest(len(node), of_node[a], of_node[b], agree)
+                found = [chosen_pairs(node_chunks(table, least), lambda a, b, agree: spanning_forest(n, of_node[a], of_node[b], agree), n)]
             elif how == "best":
-                chosen = best_of_each(len(node), a, b, agree, BEST)
+                found = [chosen_pairs(node_chunks(table, least), lambda a, b, agree: best_of_each(n, a, b, agree, BEST), n)]
             else:
-                chosen = np.arange(len(a))
-            more = np.unique(np.concatenate([np.delete(a, chosen), np.delete(b, chosen)]))
-            low, high = np.minimum(rep[a], rep[b])[chosen], np.maximum(rep[a], rep[b])[chosen]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([node[a[chosen]], node[more]])),
-                pa.array(np.concatenate([low, rep[more]])),
-                pa.array([*high.tolist(), *[None] * len(more)], pa.int64()),
-            ], ["node", "a", "b"])
+                found = ((a, b, np.empty(0, np.int64)) for a, b, _ in node_chunks(table, least))
+            for a, b, more in found:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([node[a], node[more]])),
+                    pa.array(np.concatenate([np.minimum(rep[a], rep[b]), rep[more]])),
+                    pa.array([*np.maximum(rep[a], rep[b]).tolist(), *[None] * len(more)], pa.int64()),
+                ], ["node", "a", "b"])
+            release()
 
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "node long, a long, b long")
 
@@ -331,11 +435,11 @@ def confirm_inside(members: DataFrame, least: int, part: int, whole: int) -> Dat
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node", rows=512):
             rep = table.column("rep").to_numpy()
-            a, b, _ = node_pairs(table, least)
             sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
-            true = np.array([linked(sets[i], sets[j], part, whole) for i, j in zip(a.tolist(), b.tolist())], bool)
-            a, b = a[true], b[true]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+            for a, b, _ in node_chunks(table, least):
+                true = np.array([linked(sets[i], sets[j], part, whole) for i, j in zip(a.tolist(), b.tolist())], bool)
+                a, b = a[true], b[true]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
     return members.repartition("node").sortWithinPartitions("node").mapInArrow(check, "a long, b long")
 
@@ -497,8 +601,8 @@ def trees_by_depth(part: int, whole: int, depth: int, trees: int) -> list[int]:
     return [max(trees, math.ceil(math.log(MISS) / math.log1p(-shared))) if shared < 1 else trees for shared in shared_levels(part, whole, depth)]
 
 
-def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, twice: int) -> tuple[DataFrame, DataFrame | None]:
-    """Members (`node`, `rep`, `place`) of all nodes that are compared, and the level (`rep`, `level`) that members of large nodes branch to."""
+def grow_levels(level: DataFrame, classes: DataFrame, limit: int, wide: int, depth: int, twice: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members (`node`, `rep`, `place`) of all nodes that are compared, and the level (`rep`, `level`) that members of nodes of more than `wide` branch to."""
     done, deep = [], []
     for at in range(depth + 1):
         # A node of one label has nothing left to find. Members meet their node's size once, and those of large nodes its labels.
@@ -509,17 +613,21 @@ def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, tw
         mains = members.groupBy("node", "label").agg(F.count("*").alias("of_label"), F.first("n").alias("n"))
         mains = mains.groupBy("node").agg(F.max(F.struct("of_label", "label")).alias("main"), F.first("n").alias("n"))
         others = F.col("n") - F.col("main.of_label")
-        mains = materialise(mains.select("node", F.col("main.label").alias("main"), others.alias("others"), (others <= limit // 2).alias("tight")), "mains")
-        kinds = {r.tight for r in mains.select("tight").distinct().collect()}
+        kind = F.when(others <= limit // 2, "tight").when(F.col("n") <= wide, "whole").otherwise("branch")
+        mains = materialise(mains.select("node", F.col("main.label").alias("main"), others.alias("others"), kind.alias("kind")), "mains")
+        kinds = {r.kind for r in mains.select("kind").distinct().collect()}
         if not kinds:
             break
-        if True in kinds:
+        if kinds != {"branch"}:
             members = materialise(members.join(mains, "node"), "in_large")
-            done.append(label_blocks(members.where("tight"), limit))
-        if False not in kinds:
+        if "tight" in kinds:
+            done.append(label_blocks(members.where("kind = 'tight'"), limit))
+        if "whole" in kinds:
+            done.append(members.where("kind = 'whole'").select("node", "rep", "place"))
+        if "branch" not in kinds:
             break
-        if True in kinds:
-            members = members.where("NOT tight")
+        if kinds != {"branch"}:
+            members = members.where("kind = 'branch'")
         deep.append(members.select("rep").distinct().withColumn("level", F.lit(min(at + 1, depth))))
         level = block_pairs(members, limit) if at == depth else branch(members, classes, twice)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
@@ -528,7 +636,7 @@ def grow_levels(level: DataFrame, classes: DataFrame, limit: int, depth: int, tw
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, deep) if deep else None
 
 
-def small_nodes(classes: DataFrame, limit: int, depth: int, part: int, whole: int, trees: int) -> DataFrame:
+def small_nodes(classes: DataFrame, limit: int, wide: int, depth: int, part: int, whole: int, trees: int) -> DataFrame:
     """Members (`node`, `rep`) of all nodes that are compared, with `place` among the first choices or null.
 
     Two classes share as many trees as the lesser of their depths asks for. A round of further trees is for all classes
@@ -536,7 +644,7 @@ def small_nodes(classes: DataFrame, limit: int, depth: int, part: int, whole: in
     the trees beyond it, and any two of them meet in those that both want.
     """
     twice, enough = branching(part, whole), trees_by_depth(part, whole, depth, trees)
-    out, deep = grow_levels(classes.select("rep", "label", F.posexplode("nodes").alias("place", "node")), classes, limit, depth, twice)
+    out, deep = grow_levels(classes.select("rep", "label", F.posexplode("nodes").alias("place", "node")), classes, limit, wide, depth, twice)
     had, turn = None, 0
     while deep is not None:
         deepest = deep.groupBy("rep").agg(F.max("level").alias("level"))
@@ -551,7 +659,7 @@ def small_nodes(classes: DataFrame, limit: int, depth: int, part: int, whole: in
         has = F.greatest("need", "had")
         level = plant(wanted.where(has > least).select("rep", (has - least).alias("more")), classes, twice, turn)
         level = materialise(level.withColumn("place", F.lit(None).cast("int")), "level")
-        found, deeper = grow_levels(level, classes, limit, depth, twice)
+        found, deeper = grow_levels(level, classes, limit, wide, depth, twice)
         out = out.unionByName(found)
         had = wanted.select("rep", has.alias("had"))
         if deeper is None:
@@ -578,9 +686,13 @@ def open_members(proposed: DataFrame, known: DataFrame, labels: DataFrame) -> Da
 
 def judged(
     documents: DataFrame, shingle: int = SHINGLE, trees: int | None = None, node_limit: int = NODE_LIMIT, depth: int = DEPTH, node_bytes: int = NODE_BYTES,
-    part: int = PART, whole: int = WHOLE,
+    part: int = PART, whole: int = WHOLE, wide_limit: int | None = None,
 ) -> DataFrame:
-    """`doc_id`, `said` (a hash of the text), `n_shingles`, `component_id` and `kept` of every document."""
+    """`doc_id`, `said` (a hash of the text), `n_shingles`, `component_id` and `kept` of every document.
+
+    Nodes of more than `wide_limit` members branch: `WIDE_LIMIT`, or `node_limit` where that is set below its default.
+    """
+    wide = wide_limit or (WIDE_LIMIT if node_limit >= NODE_LIMIT else node_limit)
     least, trees = least_agreement(part, whole), trees or enough_trees(part, whole)
     roots = root_choices(trees, COORDINATES, branching(part, whole))
     signed = materialise(sign(documents, shingle, roots), "signatures")
@@ -597,7 +709,7 @@ def judged(
         classes = materialise(classes, "classes")
     else:
         classes = classes.withColumn("label", F.col("rep"))
-    placed = materialise(small_nodes(classes, node_limit, depth, part, whole, trees), "placed")
+    placed = materialise(small_nodes(classes, node_limit, wide, depth, part, whole, trees), "placed")
     choices = len(roots)
     nowhere = F.array_repeat(F.lit(0), choices)
     known = classes.select("rep", "label", "sketch").join(first_level(placed, choices), "rep", "left")
